@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_components
 from .mixing import MAX_REPEATS, WEIGHTS, capped_targets, mix_sources, source_order
 from .topk import exact_topk
 
@@ -14,6 +15,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the size of its shingle set and its component under links of at least 75 %."""
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the words that the mix takes of it."""
     held: dict = {}
@@ -43,7 +49,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op7_exact_dedup, op9_topk)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mix_sources, op7_exact_dedup, op9_topk)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """

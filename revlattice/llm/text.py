@@ -56,16 +56,18 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES, column: s
             start = stop
 
 
-def joined(batches: Iterable[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices gathered until about `most` bytes of text are reached."""
-    held, size = [], 0
-    for part in slices(batches, most, column):
-        _, at = flat(part.column(column))
-        if held and size + at[-1] > most:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-        held.append(part)
-        size += int(at[-1])
+def joined(batches: Iterable[pa.RecordBatch], most: int, column: str = "text", rows: int = 65_000) -> Iterator[pa.RecordBatch]:
+    """Slices gathered until about `most` bytes of text or `rows` rows are reached."""
+    held, size, count = [], 0, 0
+    for whole in slices(batches, most, column):
+        for part in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
+            _, at = flat(part.column(column))
+            if held and (size + at[-1] > most or count + part.num_rows > rows):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size, count = [], 0, 0
+            held.append(part)
+            size += int(at[-1])
+            count += part.num_rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
