@@ -80,3 +80,65 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
         if not over:
             return windows
         k += max(1, over // capacity)
+
+
+def cut_document(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[int]:
+    """Lengths of the pieces of a document of n ids: whole windows, then its remainder in near-equal pieces of at most `piece`."""
+    whole, rest = divmod(n, capacity)
+    parts = -(-rest // piece)
+    return [capacity] * whole + [rest // parts + (i < rest % parts) for i in range(parts)]
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, piece: int = PIECE, chunk: int = CHUNK_PIECES) -> DataFrame:
+    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
+
+    tokenizer: the path of a tokenizer file on every machine. end: the id that closes each document.
+    """
+
+    def work(batches):
+        from pyspark import TaskContext
+
+        encoder, base, serial = Encoder(tokenizer), TaskContext.get().partitionId() << 36, 0
+        whole: list[tuple] = []
+        waiting: list[tuple] = []
+
+        def shared() -> list[tuple]:
+            nonlocal serial
+            out = []
+            for window in pack(np.array([p[2] for p in waiting]), capacity):
+                offset = 0
+                for i in window:
+                    out.append((*waiting[i], base + serial, offset))
+                    offset += waiting[i][2]
+                serial += 1
+            waiting.clear()
+            return out
+
+        for batch in joined(batches, BLOCK_BYTES):
+            ids, first = encoder.encode(batch.column("text"), end)
+            data, first = ids.astype("<u4").tobytes(), first.tolist()
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), first[:-1], first[1:], strict=True):
+                start = 0
+                for n in cut_document(b - a, capacity, piece):
+                    row = (doc, start, n, zlib.crc32(data[4 * (a + start) : 4 * (a + start + n)]), b - a)
+                    if n == capacity:
+                        whole.append((*row, base + serial, 0))
+                        serial += 1
+                    else:
+                        waiting.append(row)
+                    start += n
+                if len(waiting) >= chunk:
+                    whole += shared()
+            yield _rows(whole)
+            whole = []
+        if waiting:
+            yield _rows(shared())
+
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)

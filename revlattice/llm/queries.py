@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .mixing import MAX_REPEATS, WEIGHTS, capped_targets, mix_sources, source_order
+from .packing import pack_documents
+from .token_files import read_documents, write_token_files
+from .tokens import tokenizer_path
 from .topk import exact_topk
 
 
@@ -37,6 +40,17 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.join(F.broadcast(sources), "pattern").select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken, F.col("pattern")[0].alias("source"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place and ids, read back from bit-packed files of all documents in ascending order of doc_id."""
+    files = write_token_files(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=0)
+    return read_documents(spark, files)
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 ids."""
+    return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=1)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the identifier that stays of its group of equal texts."""
     out = exact_dedup(_read(spark, sf_dir, "documents"), keep_largest=True)
@@ -49,7 +63,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mix_sources, op7_exact_dedup, op9_topk)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mix_sources, op3_token_files, op6_pack, op7_exact_dedup, op9_topk)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
