@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .mixing import MAX_REPEATS, WEIGHTS, capped_targets, mix_sources, source_order
 from .packing import pack_documents
+from .quality import quality_scores
 from .token_files import read_documents, write_token_files
 from .tokens import tokenizer_path
 from .topk import exact_topk
@@ -57,13 +58,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality score."""
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best other vectors of every vector whose identifier is divisible by 100."""
     found = exact_topk(_read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mix_sources, op3_token_files, op6_pack, op7_exact_dedup, op9_topk)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mix_sources, op3_token_files, op6_pack, op7_exact_dedup, op8_quality, op9_topk)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
