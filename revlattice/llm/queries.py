@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
+from .line_dedup import dedup_lines
 from .mixing import MAX_REPEATS, WEIGHTS, capped_targets, mix_sources, source_order
 from .packing import pack_documents
 from .quality import quality_scores
@@ -47,6 +48,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, files)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without the lines of which an alike one stays elsewhere."""
+    out = dedup_lines(_read(spark, sf_dir, "documents"))
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    return out.select("doc_id", "n_dropped", (lines * (F.col("text") != "").cast("long")).alias("n_lines"), "text")
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 ids."""
     return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=1)
@@ -69,7 +77,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mix_sources, op3_token_files, op6_pack, op7_exact_dedup, op8_quality, op9_topk)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mix_sources, op3_token_files, op5_line_dedup, op6_pack, op7_exact_dedup, op8_quality, op9_topk)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
