@@ -11,6 +11,7 @@ from .line_dedup import dedup_lines
 from .mixing import MAX_REPEATS, WEIGHTS, capped_targets, mix_sources, source_order
 from .packing import pack_documents
 from .quality import quality_scores
+from .token_counts import token_counts
 from .token_files import read_documents, write_token_files
 from .tokens import tokenizer_path
 from .topk import exact_topk
@@ -77,7 +78,12 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mix_sources, op3_token_files, op5_line_dedup, op6_pack, op7_exact_dedup, op8_quality, op9_topk)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of unigram tokens."""
+    return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mix_sources, op3_token_files, op5_line_dedup, op6_pack, op7_exact_dedup, op8_quality, op9_topk, op10_token_counts)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
