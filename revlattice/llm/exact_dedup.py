@@ -182,7 +182,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = materialize(build_index(keys, bucket_count(spark), keep_largest), "dedup-hits")
     unit = max(1, int(docs.count() * HEAVY_SHARE))
     # At most 1 / HEAVY_SHARE groups are heavy: a fixed bound on what is broadcast.
-    heavy, light = F.broadcast(hits.where(F.col("group_size") >= unit)), hits.where(F.col("group_size") < unit)
+    # The others are always joined by a shuffle, so that the plan is the same at every size.
+    heavy, light = F.broadcast(hits.where(F.col("group_size") >= unit)), hits.where(F.col("group_size") < unit).hint("merge")
     copies = materialize(rows.join(heavy, "digest").unionByName(rows.join(light, "digest")), "dedup-copies")
     alone = keys.join(heavy, "digest", "left_anti").join(light, "digest", "left_anti")
     checked = materialize(_verified(copies, unit), "dedup-verified")
