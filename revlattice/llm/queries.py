@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .line_dedup import dedup_lines
+from .lm import lm_scores
 from .mixing import MAX_REPEATS, WEIGHTS, capped_targets, mix_sources, source_order
 from .packing import pack_documents
 from .quality import quality_scores
@@ -49,6 +50,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, files)
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's score under a bigram model of the training documents, with an add-one unigram score beside it."""
+    return lm_scores(_read(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text without the lines of which an alike one stays elsewhere."""
     out = dedup_lines(_read(spark, sf_dir, "documents"))
@@ -83,7 +89,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mix_sources, op3_token_files, op5_line_dedup, op6_pack, op7_exact_dedup, op8_quality, op9_topk, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mix_sources, op3_token_files, op4_lm_scores, op5_line_dedup, op6_pack, op7_exact_dedup, op8_quality, op9_topk, op10_token_counts)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
