@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linkage import linked, labelled
+from .linkage import labelled, linked
+from .membership import Membership, members
 from .runtime import bucket_count, materialize
 from .text import C1, C2, C3, SHINGLE_WORDS, joined, mix, shingle_sets, slices
 
@@ -300,3 +301,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of_set = named.join(least, "comp").select("id", "component_id")
     of_doc = members.join(of_set, "id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return counts.join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of docs, with all their columns, but of each component only those of its least identifier.
+
+    Texts travel only for rows that a Bloom filter of fixed size takes for one that goes.
+    """
+    found = jaccard_components(docs, id_col, text_col, percent, width)
+    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    sent = docs.sparkSession.sparkContext.broadcast(Membership.of(gone, "__gone"))
+    flagged = docs.withColumn("__may", F.pandas_udf(lambda ids: members(sent, ids), "boolean")(F.coalesce(F.col(id_col).cast("long"), F.lit(0))))
+    rest = flagged.where("__may").join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return flagged.where("not __may").unionByName(rest).drop("__may")

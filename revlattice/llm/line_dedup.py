@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linkage import labelled, linked, mixed_keys, star_pairs
-from .membership import Membership
+from .membership import Membership, members
 from .runtime import bucket_count, materialize
 from .text import C1, flat, mix, slices, span_hashes, words
 
@@ -236,7 +236,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(Membership.of(lost, "rid"))
     keyed = docs.withColumn("__rid", F.xxhash64(id_col, text_col))
-    may_lose = F.pandas_udf(lambda rid: _members(sent, rid), "boolean")
+    may_lose = F.pandas_udf(lambda rid: members(sent, rid), "boolean")
     flagged = keyed.withColumn("__may", may_lose("__rid"))
     whole = flagged.where("not __may").drop("__may", "__rid")
     split = flagged.where("__may").drop("__may").join(lost.hint("merge"), F.col("__rid") == F.col("rid"), "left").drop("rid", "__rid")
@@ -255,8 +255,3 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cleaned = split.select(*names, "lines").mapInArrow(cut, f"{schema}, n_dropped long")
     return whole.withColumn("n_dropped", F.lit(0).cast("long")).unionByName(cleaned)
 
-
-def _members(sent, rid):
-    import pandas as pd
-
-    return pd.Series(sent.value.may_hold(rid.to_numpy().astype(np.int64)))

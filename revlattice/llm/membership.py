@@ -53,13 +53,8 @@ class Membership:
         return cls(out)
 
 
-def passing(docs: DataFrame, members: Membership, column: str) -> DataFrame:
-    """The rows of docs whose column (long) may be a member."""
-    sent = docs.sparkSession.sparkContext.broadcast(members)
+def members(sent, keys):
+    """For a pandas UDF: whether each of a series of longs may be a member of the broadcast filter."""
+    import pandas as pd
 
-    def work(batches):
-        for batch in batches:
-            keys = batch.column(column)
-            yield batch.filter(pa.array(sent.value.may_hold(np.asarray(keys.fill_null(0))) & np.asarray(keys.is_valid())))
-
-    return docs.mapInArrow(work, docs.schema)
+    return pd.Series(sent.value.may_hold(keys.to_numpy().astype(np.int64)))

@@ -108,8 +108,11 @@ def source_order(names) -> list:
 def sized(docs: DataFrame, sources: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pattern, size, h) of each document: pattern is the sorted array of its sources, h a seeded hash, not negative."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col), text), 1)
-    return docs.select(F.col(id_col).cast("long").alias("id"), sources.alias("pattern"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), h.alias("h"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), sources.alias("pattern"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), seeded_hash(id_col, text_col).alias("h"))
+
+
+def seeded_hash(id_col: str, text_col: str) -> F.Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), 1)
 
 
 def _boundaries(rows: DataFrame, want: dict[tuple, int]) -> dict[tuple, tuple[int, int]]:
@@ -139,29 +142,62 @@ def _boundaries(rows: DataFrame, want: dict[tuple, int]) -> dict[tuple, tuple[in
     return {p: (lo, below) for p, (lo, _, below) in state.items()}
 
 
-def mix_sources(docs: DataFrame, quotas: Callable[[dict[tuple, int]], dict[object, float]], sources: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_REPEATS) -> DataFrame:
-    """One row per document: (id, pattern, size, h, repeats): how often the mix takes it.
+def mix_plan(docs: DataFrame, quotas: Callable[[dict[tuple, int]], dict[object, float]], sources: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame]:
+    """(sizes, plan): (id, pattern, size, h) of each document, and for each pattern (passes, below, filler).
 
     quotas: from the total size of each pattern to the tokens wanted of each source. The patterns are expected to be few
     (their totals and the flow network are held by the driver); documents never are. sources: the sorted array of the
     sources that a document belongs to; [source] unless given.
     """
     spark = docs.sparkSession
-    sources = F.array("source") if sources is None else sources
-    rows = materialize(sized(docs, sources, id_col, text_col), "mix-sizes")
+    rows = materialize(sized(docs, _sources(sources), id_col, text_col), "mix-sizes")
     totals = {tuple(r.pattern): r.total for r in rows.groupBy("pattern").agg(F.sum("size").alias("total")).collect()}
-    wanted = quotas(totals)
-    flow = routed(totals, {s: round(q) for s, q in wanted.items()}, most)
+    flow = routed(totals, {s: round(q) for s, q in quotas(totals).items()}, most)
     take = {p: sum(flow[p].values()) for p in totals}
     passes = {p: min(most, take[p] // n) if (n := totals[p]) else 1 for p in totals}
-    rest = {p: take[p] - passes[p] * totals[p] for p in totals}
-    part = {p: r for p, r in rest.items() if r > 0}
+    part = {p: rest for p in totals if (rest := take[p] - passes[p] * totals[p]) > 0}
     bound = {p: (0, 0) for p in totals} | (_boundaries(rows, part) if part else {})
-    filler: dict[tuple, tuple[int, int]] = {}
+    filler: dict[tuple, int] = {}
     if part:
         gaps = spark.createDataFrame([(list(p), bound[p][0], part[p] - bound[p][1]) for p in part], "pattern array<string>, lo long, gap long")
         near = rows.join(F.broadcast(gaps), "pattern").where("h >= lo").groupBy("pattern", "h", "gap").agg(F.sum("size").alias("tokens"))
         near = near.groupBy("pattern", "gap").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("gap")).alias("off"), F.col("h").alias("h"))).alias("best"))
         filler = {tuple(r.pattern): r.best.h for r in near.collect() if r.best.off < r.gap}
     plan = spark.createDataFrame([(list(p), passes[p], bound[p][0], filler.get(p, -1)) for p in totals], "pattern array<string>, passes long, below long, filler long")
-    return rows.join(F.broadcast(plan), "pattern").select("id", "pattern", "size", "h", (F.col("passes") + ((F.col("h") < F.col("below")) | (F.col("h") == F.col("filler"))).cast("long")).alias("repeats"))
+    return rows, plan
+
+
+def _sources(sources: F.Column | None) -> F.Column:
+    return F.array("source") if sources is None else sources
+
+
+def with_repeats(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (with pattern and h) and how often the mix takes each. The plan has a row for each pattern."""
+    chosen = (F.col("h") < F.col("below")) | (F.col("h") == F.col("filler"))
+    return rows.join(F.broadcast(plan), "pattern").withColumn("repeats", F.col("passes") + chosen.cast("long")).drop("passes", "below", "filler")
+
+
+def mix_sources(docs: DataFrame, quotas: Callable[[dict[tuple, int]], dict[object, float]], sources: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_REPEATS) -> DataFrame:
+    """One row per document: (id, pattern, size, h, repeats): how often the mix takes it; see mix_plan."""
+    return with_repeats(*mix_plan(docs, quotas, sources, id_col, text_col, most)).select("id", "pattern", "size", "h", "repeats")
+
+
+def mixture(docs: DataFrame, quotas: Callable[[dict[tuple, int]], dict[object, float]], sources: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_REPEATS) -> DataFrame:
+    """The mix itself: the rows of docs, with all their columns, each as often as the mix takes it. Texts don't travel."""
+    _, plan = mix_plan(docs, quotas, sources, id_col, text_col, most)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), _sources(sources).alias("pattern"), seeded_hash(id_col, text_col).alias("h"))
+    taken = with_repeats(whole, plan).where("repeats > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select("row.*")
+
+
+def quotas_by_weight(weights: tuple[float, ...] = WEIGHTS, most: int = MAX_REPEATS, held: dict | None = None) -> Callable[[dict[tuple, int]], dict[object, float]]:
+    """For documents of one source each: the sources in order weigh `weights`, repeating, and share the total size. held gets sizes and targets."""
+
+    def quotas(totals: dict[tuple, int]) -> dict[object, float]:
+        sizes = {p[0]: n for p, n in totals.items()}
+        targets = capped_targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(source_order(sizes))}, most)
+        if held is not None:
+            held.update(sizes=sizes, targets=targets)
+        return targets
+
+    return quotas

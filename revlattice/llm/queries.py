@@ -9,7 +9,7 @@ from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .line_dedup import dedup_lines
 from .lm import lm_scores
-from .mixing import MAX_REPEATS, WEIGHTS, capped_targets, mix_sources, source_order
+from .mixing import mix_sources, quotas_by_weight
 from .packing import pack_documents
 from .quality import quality_scores
 from .token_counts import token_counts
@@ -30,14 +30,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the words that the mix takes of it."""
     held: dict = {}
-
-    def quotas(totals: dict[tuple, int]) -> dict[object, float]:
-        held["sizes"] = {p[0]: n for p, n in totals.items()}
-        order = source_order(held["sizes"])
-        held["targets"] = capped_targets(held["sizes"], {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(order)}, MAX_REPEATS)
-        return held["targets"]
-
-    mixed = mix_sources(_read(spark, sf_dir, "documents"), quotas)
+    mixed = mix_sources(_read(spark, sf_dir, "documents"), quotas_by_weight(held=held))
     rows = [([s], n, float(held["targets"][s])) for s, n in held["sizes"].items()]
     sources = spark.createDataFrame(rows, "pattern array<string>, source_size long, target double")
     taken = (F.col("size") * F.col("repeats")).alias("taken")
