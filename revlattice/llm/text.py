@@ -129,7 +129,7 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE_WORDS) -> tuple[np.ndarr
     keys = mix(C1 * (2 * np.arange(width, dtype=np.uint64) + np.uint64(1))) | np.uint64(1)
     rolled = np.zeros(max(0, len(h) - width + 1), np.uint64)
     for j in range(width):
-        rolled += h[j : len(h) - width + 1 + j] * keys[j]
+        rolled += h[j : j + len(rolled)] * keys[j]
     rolled = mix(rolled)
     keep = np.zeros(bounds[-1], bool)
     for i in np.flatnonzero(own):
