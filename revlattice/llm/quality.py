@@ -138,7 +138,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     n, width = x.shape[0], len(NAMES)
     none = np.zeros((0, 2**DEPTH - 1), np.int64), np.zeros((0, 2**DEPTH - 1), np.float32), np.zeros((0, 2**DEPTH))
     share = float(y.mean()) if n else 0.5
-    if not 0 < share < 1:
+    if not n or not 0 < share < 1:
         return Trees(float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -13, 13)), *none)
     edges = [np.unique(np.quantile(x[:, f], np.arange(1, BINS) / BINS, method="lower")).astype(np.float32) for f in range(width)]
     bins = np.stack([np.searchsorted(edges[f], x[:, f], "left") for f in range(width)], 1)  # bin b: x <= edges[b]
