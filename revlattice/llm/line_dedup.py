@@ -231,27 +231,19 @@ def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """docs with the text of each row without its repeated lines, and the columns n_lines and n_dropped."""
+    """docs with the text of each row without its repeated lines, and the column n_dropped (in place of one of that name)."""
     lost = lines_to_drop(docs, id_col, text_col, percent)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(Membership.of(lost, "rid"))
-    keyed = docs.withColumn("__rid", F.xxhash64(id_col, text_col))
-    may_lose = F.pandas_udf(lambda rid: members(sent, rid), "boolean")
-    flagged = keyed.withColumn("__may", may_lose("__rid"))
-    whole = flagged.where("not __may").drop("__may", "__rid")
-    split = flagged.where("__may").drop("__may").join(lost.hint("merge"), F.col("__rid") == F.col("rid"), "left").drop("rid", "__rid")
-    names = docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast(Membership.of(lost, "rid"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(id_col, text_col).alias("key"))
+    flagged = keyed.withColumn("may", F.pandas_udf(lambda key: members(sent, key), "boolean")("key"))
+    whole = flagged.where("not may").select("row", F.col(f"row.`{text_col}`").alias("text"), F.lit(0).cast("long").alias("n_dropped"))
+    split = flagged.where("may").join(lost.hint("merge"), F.col("key") == F.col("rid"), "left").select("row", F.col(f"row.`{text_col}`").alias("text"), "lines")
 
     def cut(batches):
         for batch in batches:
-            lines = [(t or "").split("\n") for t in batch.column(text_col).to_pylist()]
-            gone = [set(x or ()) for x in batch.column("lines").to_pylist()]
-            kept = ["\n".join(x for i, x in enumerate(own) if i not in g) for own, g in zip(lines, gone, strict=True)]
-            text = pa.array([k if g else t for k, g, t in zip(kept, gone, batch.column(text_col).to_pylist(), strict=True)], batch.column(text_col).type)
-            out = [text if c == text_col else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*out, pa.array([len(g) for g in gone], pa.int64())], names=[*names, "n_dropped"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    cleaned = split.select(*names, "lines").mapInArrow(cut, f"{schema}, n_dropped long")
-    return whole.withColumn("n_dropped", F.lit(0).cast("long")).unionByName(cleaned)
+            texts, gone = batch.column("text").to_pylist(), batch.column("lines").to_pylist()
+            kept = [t if not g else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in d) for t, g in zip(texts, gone, strict=True) for d in [set(g or ())]]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, batch.column("text").type), pa.array([len(g or ()) for g in gone], pa.int64())], names=["row", "text", "n_dropped"])
 
+    both = whole.unionByName(split.mapInArrow(cut, whole.schema))
+    return both.select(*(F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns if c != "n_dropped"), "n_dropped")
