@@ -2,13 +2,13 @@
 
 import collections
 import hashlib
-import itertools
 import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+from brute import deduped_lines, grouped, jaccard, shingles, tokens
 from pyspark.sql import functions as F
 
 from revlattice.llm import exact_dedup as dedup
@@ -70,29 +70,6 @@ def nothing(spark):
     return frame(spark, [])
 
 
-def tokens(text):
-    return (text or "").encode().lower().split()
-
-
-def shingles(text):
-    w = tokens(text)
-    return frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
-
-
-def grouped(links, nodes):
-    root = {n: n for n in nodes}
-
-    def find(a):
-        while root[a] != a:
-            a = root[a]
-        return a
-
-    for a, b in links:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {n: find(n) for n in nodes}
-
-
 def test_components(spark):
     r = random.Random(3)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(140)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(200)]
@@ -103,17 +80,11 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def _jaccard(rows):
-    known = [(i, shingles(t)) for i, t, _ in rows if i is not None]
-    links = [(a, b) for (a, x), (b, y) in itertools.combinations(known, 2) if x and y and 100 * len(x & y) >= 75 * len(x | y)]
-    return grouped(links, {i for i, _ in known})
-
-
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_join(spark, seed):
     rows = corpus(seed, 90)
     got = jaccard_components(frame(spark, rows).repartition(4)).collect()
-    want = _jaccard(rows)
+    want = jaccard(rows)
     assert sorted((r.doc_id or -1, r.n_shingles) for r in got) == sorted((i or -1, len(shingles(t))) for i, t, _ in rows)
     assert {r.doc_id: r.component_id for r in got} == want | {None: None}
     assert len(set(want.values())) < len(want) - 10
@@ -128,7 +99,7 @@ def test_jaccard_edges(spark, nothing):
 
 
 def test_one_of_each(spark, docs, rows):
-    want = _jaccard(rows)
+    want = jaccard(rows)
     got = one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(str((i, t)) for i, t, _ in rows if i is None or want[i] == i)
@@ -154,8 +125,6 @@ def test_mixing(spark, docs, rows, nothing):
     assert mixed.columns == docs.columns
     counts = collections.Counter((r.doc_id, r.text) for r in mixed.collect())
     want = collections.Counter()
-    for r, (i, t) in zip(sorted(got, key=lambda r: (str(r.id), r.h)), sorted(((i, t) for i, t, _ in rows), key=lambda x: str(x[0])), strict=False):
-        pass
     for r in got:
         want[r.id] += r.repeats
     by_id = collections.Counter()
@@ -250,16 +219,6 @@ def test_lm_scores(spark, docs, rows, nothing):
     assert (r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0)
 
 
-def _deduped_lines(rows):
-    occurrences = []
-    for k, (i, t, _) in enumerate(dict.fromkeys((i, t, "") for i, t, _ in rows)):
-        for n, line in enumerate((t or "").split("\n")):
-            normal = " ".join("".join(x if x.isalnum() or ord(x) > 127 else " " for x in line.lower()).split())
-            if len(normal.split()) >= 4:
-                occurrences.append(((-1 if i is None else i), k, n, normal))
-    return occurrences
-
-
 def test_line_dedup(spark, nothing):
     r = random.Random(5)
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(400)]
@@ -274,28 +233,10 @@ def test_line_dedup(spark, nothing):
     got = collections.defaultdict(list)
     for x in out.collect():
         got[x.doc_id].append((x.text, x.n_dropped))
-    # Brute force over the distinct normalised lines, with the same fingerprints.
-    import pyarrow as pa
-
-    lines = line_dedup.Lines(pa.array([t for _, t, _ in rows], pa.string()))
-    ids, sims = lines.prints()
-    text = {int(i): lines.text(n) for i, n in zip(ids, lines.counts, strict=True)}
-    sim = {int(i): int(s) & (2**64 - 1) for i, s in zip(ids, sims, strict=True)}
-    links = [(a, b) for a, b in itertools.combinations(text, 2) if (sim[a] ^ sim[b]).bit_count() <= 3 and line_dedup.similar(text[a], text[b])]
-    assert len(links) > 5
-    root, groups = grouped(links, text), collections.defaultdict(set)
-    for i, n in zip(ids.tolist(), lines.counts, strict=True):
-        doc = rows[lines.row[n]]
-        groups[root[i]].add(((-1 if doc[0] is None else doc[0]), doc[1], int(lines.number[n])))
-    drop = collections.defaultdict(set)
-    for g in groups.values():
-        first = min(g, key=lambda o: (o[0], o[2]))
-        for o in g - {first}:
-            drop[o[:2]].add(o[2])
-    for i, t, _ in rows:
-        gone = drop[(-1 if i is None else i), t]
-        want = t if not gone else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
-        assert (want, len(gone)) in got[i]
+    want, links = deduped_lines(rows)
+    assert links > 5
+    for (i, _, _), w in zip(rows, want, strict=True):
+        assert w in got[i]
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
