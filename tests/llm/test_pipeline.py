@@ -30,6 +30,9 @@ def folder(spark, tmp_path_factory):
             w = rows[-1][1].split(" ")
             w[len(w) // 2] = "changed"
             text, good = " ".join(w), True
+        if i % 10 == 5:  # a near copy with other line ends, which only the join on shingles sees
+            w = rows[-1][1].split()
+            text, good = "\n".join(" ".join(w[k : k + 11]) for k in range(0, len(w), 11)), True
         if not good:
             text = " ".join(w + "###" for w in text.split())
         rows.append((i, text, "en", None if i % 11 == 0 else f"s{i % 3}", len(text)))
