@@ -8,9 +8,11 @@ agree. A signature is what a set holds in two subparts of a part, so any such pa
 Signatures of nothing would be shared by unlike sets: they are left out, and a set whose parts are so thinly filled that
 the argument then fails also enumerates single shingles as parts of their own, which any pair of such sets shares.
 
-Two exact steps make that small. Before: a shingle that no other document has counts against any pair, so a document with
-more than a quarter of such shingles has no partner; they are counted over a fixed 3/8 of the domain, in blocks packed by
-hash range. Then documents of equal sets are one set. After: see linkage.py; every link used is verified on whole sets.
+Exact steps make that small. Documents of equal sets are one set. A shingle that no other set has counts against any pair,
+so a set with more than a quarter of such shingles has no partner; they are counted over a fixed 3/8 of the domain, in
+blocks packed by hash range. Pairs of one signature are looked at through parity sketches, of which the bits that differ are
+never more than the shingles that differ. linkage.py leaves out pairs of one component; every link used is verified on whole
+sets. Bloom filters of fixed size pick the documents and sets that a step needs while they are read.
 
 Hashes of 64 bits stand for shingles and for sets; the count of shared shingles is exact up to their collisions.
 
@@ -29,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linkage import labelled, linked
-from .membership import Membership, members
+from .membership import Membership, kept
+from .membership import members as may_be
 from .runtime import bucket_count, materialize
 from .text import C1, C2, C3, SHINGLE_WORDS, joined, mix, shingle_sets, slices
 
@@ -40,6 +43,8 @@ BLOCK_ROWS = 65_000
 SHARED = 0xFFFF
 #: Parts whose signatures the first round of linkage uses.
 FIRST_PARTS = 3
+#: Length of a parity sketch.
+SKETCH_LONGS = 4
 #: More parts than a pair's differing shingles need, since some are thinly filled.
 SPARE = 1.2
 
@@ -104,15 +109,15 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.fill_null(0)).astype(np.int64), np.asarray(column.is_valid())
 
 
-def shingle_counts(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(doc_id, n_shingles, candidate) of each row: whether few enough of its shingles are its alone."""
+def candidates(docs: DataFrame, chosen, percent: int, width: int) -> DataFrame:
+    """(doc_id) of each row that `chosen` (a broadcast filter of identifiers) lets pass and of which few enough shingles are its alone."""
     buckets = bucket_count(docs.sparkSession)
 
     def pack(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for serial, batch in enumerate(joined(batches, BLOCK_BYTES, rows=BLOCK_ROWS)):
+        for serial, batch in enumerate(joined(kept(batches, chosen, "doc_id"), BLOCK_BYTES, rows=BLOCK_ROWS)):
             h, first = shingle_sets(batch.column("text"), width)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
             mine = (h & np.uint64(7)) < np.uint64(3)
@@ -162,27 +167,56 @@ def shingle_counts(docs: DataFrame, percent: int, width: int) -> DataFrame:
             c = np.frombuffer(c, np.uint32)
             alone[: len(c)] += c
         may_differ = size - -(-percent * size // 100)
-        return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_shingles": size, "candidate": (size > 0) & valid & (alone <= may_differ)})
+        return pa.table({"doc_id": ids[(size > 0) & valid & (alone <= may_differ)]})
 
     packed = docs.select("doc_id", "text").mapInArrow(pack, "bucket int, block long, hashes binary, owners binary, docs binary")
     counted = packed.groupBy("bucket").applyInArrow(count, "block long, counts binary, docs binary")
-    return counted.groupBy("block").applyInArrow(judge, "doc_id long, n_shingles long, candidate boolean")
+    return counted.groupBy("block").applyInArrow(judge, "doc_id long")
 
 
-def _sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, id, shingles) of each document: id is a hash of its set, shingles the sorted set."""
+def _set_ids(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows whose set isn't empty, hashes of their sets)."""
+    some = np.flatnonzero(np.diff(first))
+    whole = np.add.reduceat(mix(h ^ C2), first[some]) if len(some) else np.zeros(0, np.uint64)
+    return some, mix(whole + np.diff(first)[some].astype(np.uint64) * C1).view(np.int64)
 
-    def make(batches):
+
+def _members(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_shingles, id) of each row: id is a hash of its set, null for the empty one."""
+
+    def work(batches):
         for batch in slices(batches):
             h, first = shingle_sets(batch.column("text"), width)
-            ids, _ = _ids(batch)
-            data = h.tobytes()
-            some = np.flatnonzero(np.diff(first))
-            whole = np.add.reduceat(mix(h ^ C2), first[some]) if len(some) else np.zeros(0, np.uint64)
-            whole = mix(whole + np.diff(first)[some].astype(np.uint64) * C1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(whole.view(np.int64)), pa.array([data[8 * first[i] : 8 * first[i + 1]] for i in some], pa.binary())], names=["doc_id", "id", "shingles"])
+            some, ids = _set_ids(h, first)
+            every, none = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool)
+            every[some], none[some] = ids, False
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(every, mask=none)], names=["doc_id", "n_shingles", "id"])
+
+    return docs.mapInArrow(work, "doc_id long, n_shingles long, id long")
+
+
+SKETCH = ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, id long, shingles binary")
+
+def _sketches(h: np.ndarray, first: np.ndarray, some: np.ndarray) -> list[np.ndarray]:
+    """Parities of each set's shingles by SKETCH_LONGS * 64 classes of their hash."""
+    bits = np.uint64(1) << (h & np.uint64(63))
+    at = (h >> np.uint64(6)) % np.uint64(SKETCH_LONGS)
+    return [np.bitwise_xor.reduceat(np.where(at == i, bits, np.uint64(0)), first[some]).view(np.int64) if len(some) else np.zeros(0, np.int64) for i in range(SKETCH_LONGS)]
+
+
+def _sets_of(docs: DataFrame, wanted, width: int) -> DataFrame:
+    """(id, n, sketch, shingles) of the sets of documents that `wanted` (a broadcast filter of identifiers) lets pass; a set may come twice."""
+
+    def make(batches):
+        for batch in slices(kept(batches, wanted, "doc_id")):
+            h, first = shingle_sets(batch.column("text"), width)
+            some, ids = _set_ids(h, first)
+            data, sketches = h.tobytes(), _sketches(h, first, some)
+            blobs = pa.array([data[8 * first[i] : 8 * first[i + 1]] for i in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(first)[some].astype(np.int32)), *map(pa.array, sketches), blobs], names=["id", "n", *(f"s{i}" for i in range(SKETCH_LONGS)), "shingles"])
+
+    return docs.mapInArrow(make, f"id long, n int, {SKETCH}, shingles binary")
 
 
 def _flat_sets(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,6 +286,20 @@ def _open(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray):
     return sig[keep].view(np.int64), ids[keep], comp[keep]
 
 
+def _can_be(percent: int):
+    """Of pairs with sizes na, nb and sketches a0.., b0..: whether the shingles that differ can be few enough."""
+    both = F.col("na") + F.col("nb")
+    room = both - 2 * F.ceil(both * F.lit(percent) / F.lit(100 + percent))
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, SKETCH_LONGS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    return (differ <= room) & (F.abs(F.col("na") - F.col("nb")) <= room)
+
+
+def _info(sets: DataFrame, side: str) -> DataFrame:
+    """Sizes and sketches of the sets, with the columns' names for one side of a pair."""
+    rows = sets.select("id", "n", *(f"s{i}" for i in range(SKETCH_LONGS))).distinct()
+    return rows.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), *(F.col(f"s{i}").alias(f"{side}{i}") for i in range(SKETCH_LONGS)))
+
+
 def _alike(sets: DataFrame, percent: int):
     """verify for linkage: the pairs of sets of at least the threshold."""
 
@@ -268,28 +316,43 @@ def _alike(sets: DataFrame, percent: int):
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+        near = materialize(pairs.join(_info(sets, "a"), "a").join(_info(sets, "b"), "b").where(_can_be(percent)).select("a", "b"), "near-pairs")
+        needed = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
+        sent = sets.sparkSession.sparkContext.broadcast(Membership.of(needed, "id"))
+        some = sets.select("id", "shingles").mapInArrow(lambda batches: kept(batches, sent, "id"), "id long, shingles binary")
+        sa, sb = some.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), some.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+        return near.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
     return verify
 
 
+def _cross(sets: DataFrame, percent: int):
+    """cross for linkage: pairs of one signature and two components that can be alike by size and sketch."""
+
+    def pairs(keys: DataFrame) -> DataFrame:
+        a = keys.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")).join(_info(sets, "a"), "a")
+        b = keys.select("key", F.col("id").alias("b"), F.col("comp").alias("cb")).join(_info(sets, "b"), "b")
+        found = a.join(b, "key").where((F.col("ca") < F.col("cb")) & _can_be(percent))
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    return pairs
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = materialize(shingle_counts(docs, percent, width), "shingle-counts")
-    left = docs.join(counts.where("candidate").select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = materialize(_sets_of(left, width), "sets")
-    members = rows.select("doc_id", "id")
-    chosen = members.groupBy("id").agg(F.min("doc_id").alias("least"))
-    sets = rows.join(chosen.select("id", F.col("least").alias("doc_id")), ["id", "doc_id"]).select("id", "shingles").dropDuplicates(["id"])
-    sets = materialize(sets, "distinct-sets")
-    first = _signature_groups(sets.withColumn("comp", F.col("id")), percent, FIRST_PARTS, _stars, "a long, b long").distinct()
+    send = docs.sparkSession.sparkContext.broadcast
+    rows = materialize(_members(docs, width), "members")
+    members = rows.where("doc_id is not null and id is not null").select("doc_id", "id")
+    chosen = materialize(members.groupBy("id").agg(F.min("doc_id").alias("least")), "chosen")
+    near = materialize(candidates(docs, send(Membership.of(chosen, "least")), percent, width), "candidates")
+    sets = materialize(_sets_of(docs, send(Membership.of(near, "doc_id")), width), "sets")
+    first = _signature_groups(sets.select("id", "shingles", F.col("id").alias("comp")), percent, FIRST_PARTS, _stars, "a long, b long").distinct()
 
     def open_keys(roots: DataFrame) -> DataFrame:
-        return _signature_groups(labelled(sets, roots), percent, None, _open, "key long, id long, comp long")
+        return _signature_groups(labelled(sets.select("id", "shingles"), roots), percent, None, _open, "key long, id long, comp long")
 
-    roots = linked(first, open_keys, _alike(sets, percent))
+    roots = linked(first, open_keys, _alike(sets, percent), _cross(sets, percent))
     twice = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     if not twice.isEmpty():
         from .components import components
@@ -300,7 +363,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_set = named.join(least, "comp").select("id", "component_id")
     of_doc = members.join(of_set, "id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return counts.join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -309,8 +372,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts travel only for rows that a Bloom filter of fixed size takes for one that goes.
     """
     found = jaccard_components(docs, id_col, text_col, percent, width)
-    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    sent = docs.sparkSession.sparkContext.broadcast(Membership.of(gone, "__gone"))
-    flagged = docs.withColumn("__may", F.pandas_udf(lambda ids: members(sent, ids), "boolean")(F.coalesce(F.col(id_col).cast("long"), F.lit(0))))
-    rest = flagged.where("__may").join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    return flagged.where("not __may").unionByName(rest).drop("__may")
+    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
+    sent = docs.sparkSession.sparkContext.broadcast(Membership.of(gone, "gone"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("key"))
+    flagged = keyed.withColumn("may", F.pandas_udf(lambda ids: may_be(sent, ids), "boolean")(F.coalesce("key", F.lit(0).cast("long"))))
+    rest = flagged.where("may").join(gone.hint("merge"), F.col("key") == F.col("gone"), "left_anti")
+    return flagged.where("not may").unionByName(rest).select("row.*")

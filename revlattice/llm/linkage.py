@@ -40,11 +40,11 @@ def cross_pairs(keys: DataFrame) -> DataFrame:
     return left.join(right, "key").where("ci < cj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
-def linked(first_pairs: DataFrame, open_keys: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(first_pairs: DataFrame, open_keys: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] = cross_pairs) -> DataFrame:
     """(node, root) of every item that is linked to another.
 
     first_pairs: (a, b) of the first round. open_keys: from the components so far to (key, id, comp) of the keys whose items
-    lie in several. verify: keeps the pairs (a, b) that are alike.
+    lie in several. verify: keeps the pairs (a, b) that are alike. cross: as cross_pairs, may leave out pairs that cannot be.
     """
     tried = materialize(first_pairs, "pairs")
     links = materialize(verify(tried), "links")
@@ -60,5 +60,5 @@ def linked(first_pairs: DataFrame, open_keys: Callable[[DataFrame], DataFrame],
         mixed = mixed_keys(labelled(mixed.drop("comp"), roots))
     else:
         tried = tried.unionByName(again)
-    last = materialize(verify(cross_pairs(mixed).join(tried, ["a", "b"], "left_anti")), "links")
+    last = materialize(verify(cross(mixed).join(tried, ["a", "b"], "left_anti")), "links")
     return roots if last.isEmpty() else components(links.unionByName(last))

@@ -58,3 +58,10 @@ def members(sent, keys):
     import pandas as pd
 
     return pd.Series(sent.value.may_hold(keys.to_numpy().astype(np.int64)))
+
+
+def kept(batches, sent, column: str):
+    """In mapInArrow: the batches' rows whose column (long, null left out) may be a member of the broadcast filter."""
+    for batch in batches:
+        keys = batch.column(column)
+        yield batch.filter(pa.array(sent.value.may_hold(np.asarray(keys.fill_null(0))) & np.asarray(keys.is_valid())))
