@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .runtime import materialize, shared_dir, shuffle_partitions
 from .text import joined
-from .tokens import Encoder
+from .tokens import encoder as shared_encoder
 
 #: Fixed values of the file format.
 MAGIC = b"TOKBITS1"
@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, id_col: str = "
         part, encoder, writer, docs = TaskContext.get().partitionId(), None, None, 0
         for batch in joined(batches, ENCODE_BYTES):
             if not writer:
-                encoder = Encoder(tokenizer)
+                encoder = shared_encoder(tokenizer)
                 name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.tok"
                 writer = Writer(f"{folder}/{name}", id_bits(encoder.vocab_size))
             ids, first = encoder.encode(batch.column("text"), end)
