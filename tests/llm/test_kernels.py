@@ -111,6 +111,19 @@ def test_lines(texts):
         assert own == (t or "").split("\n")
 
 
+def test_simhash_is_the_majority_of_the_words_bits():
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "x" + str(i)]) for i in range(k)) for k in (4, 5, 30, 255, 256, 600)]
+    _, got = line_dedup.Lines(pa.array(texts)).prints()
+    got = [int(g) & (2**64 - 1) for g in got]
+    want = []
+    for t in texts:
+        normal = t.replace("1", "0").translate(str.maketrans("23456789", "00000000")).encode().split()
+        spans = [T.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in normal]
+        want.append(sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in spans) > len(spans)))
+    assert [[(a ^ b).bit_count() for b in got] for a in got] == [[(a ^ b).bit_count() for b in want] for a in want]
+
+
 def test_simhash_keys_cover_three_bits():
     r = random.Random(4)
     for _ in range(2000):

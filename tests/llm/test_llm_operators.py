@@ -11,6 +11,7 @@ import pytest
 from brute import deduped_lines, grouped, jaccard, shingles, tokens
 from pyspark.sql import functions as F
 
+from revlattice.llm import components as cc
 from revlattice.llm import exact_dedup as dedup
 from revlattice.llm import line_dedup, topk
 from revlattice.llm.components import components
@@ -70,7 +71,9 @@ def nothing(spark):
     return frame(spark, [])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [cc.ONE_TASK, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(cc, "ONE_TASK", most)
     r = random.Random(3)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(140)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(200)]
     got = {x.node: x.root for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
