@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import joined
-from .tokens import Encoder
+from .tokens import encoder as shared_encoder
 
 CAPACITY = 2048
 PIECE = 512
@@ -98,7 +98,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc
     def work(batches):
         from pyspark import TaskContext
 
-        encoder, base, serial = Encoder(tokenizer), TaskContext.get().partitionId() << 36, 0
+        encoder, base, serial = shared_encoder(tokenizer), TaskContext.get().partitionId() << 36, 0
         whole: list[tuple] = []
         waiting: list[tuple] = []
 
