@@ -34,7 +34,7 @@ from .linkage import labelled, linked
 from .membership import Membership, kept
 from .membership import members as may_be
 from .runtime import bucket_count, materialize
-from .text import C1, C2, C3, SHINGLE_WORDS, joined, mix, shingle_sets, slices
+from .text import C1, C2, C3, SHINGLE_WORDS, from40, joined, low40, mix, shingle_sets, slices
 
 THRESHOLD_PERCENT = 75
 #: Text of the blocks that the first step packs.
@@ -226,7 +226,7 @@ def _flat_sets(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _signature_groups(sets: DataFrame, percent: int, parts: int | None, emit, schema: str) -> DataFrame:
     """Signatures in packed blocks by hash range; emit(signatures, ids, components) gives a range's table, from arrays in the order of signature, id."""
-    buckets = bucket_count(sets.sparkSession)
+    buckets = bucket_count(sets.sparkSession, 1)  # few, since a set's identifier goes to each that has one of its signatures
     names = [c.split()[0] for c in schema.split(", ")]
 
     def pack(batches):
@@ -244,13 +244,13 @@ def _signature_groups(sets: DataFrame, percent: int, parts: int | None, emit, sc
                 rows = []
                 for b in full:
                     own, back = np.unique(owner[cuts[b] : cuts[b + 1]], return_inverse=True)
-                    rows.append((b, sig[cuts[b] : cuts[b + 1]].tobytes(), back.astype(np.uint16).tobytes(), ids[own].tobytes(), comp[own].tobytes()))
+                    rows.append((b, low40(sig[cuts[b] : cuts[b + 1]]), back.astype(np.uint16).tobytes(), ids[own].tobytes(), comp[own].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "sigs", "owners", "ids", "comps"])
 
     def group(table: pa.Table) -> pa.Table:
         got = table.to_pydict()
-        sig = np.frombuffer(b"".join(got["sigs"]), np.uint64)
+        sig = from40(b"".join(got["sigs"])) | np.uint64(got["bucket"][0] << 40)
         ids, comp, base = np.frombuffer(b"".join(got["ids"]), np.int64), np.frombuffer(b"".join(got["comps"]), np.int64), 0
         owner = np.empty(len(sig), np.int64)
         at = 0
@@ -277,6 +277,13 @@ def _stars(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray):
     return pairs[:, 0], pairs[:, 1]
 
 
+def _open_stars(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray):
+    """As _stars, of items that lie in another component than the least."""
+    first = np.searchsorted(sig, sig)
+    pairs = np.unique(np.stack([ids[first], ids], 1)[comp[first] != comp], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def _open(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray):
     start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
     if not len(start):
@@ -349,10 +356,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = materialize(_sets_of(docs, send(Membership.of(near, "doc_id")), width), "sets")
     first = _signature_groups(sets.select("id", "shingles", F.col("id").alias("comp")), percent, FIRST_PARTS, _stars, "a long, b long").distinct()
 
-    def open_keys(roots: DataFrame) -> DataFrame:
-        return _signature_groups(labelled(sets.select("id", "shingles"), roots), percent, None, _open, "key long, id long, comp long")
+    def over_all(roots: DataFrame, emit, schema: str) -> DataFrame:
+        return _signature_groups(labelled(sets.select("id", "shingles"), roots), percent, None, emit, schema)
 
-    roots = linked(first, open_keys, _alike(sets, percent), _cross(sets, percent))
+    roots = linked(
+        first, lambda r: over_all(r, _open_stars, "a long, b long").distinct(), lambda r: over_all(r, _open, "key long, id long, comp long"), _alike(sets, percent), _cross(sets, percent)
+    )
     twice = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     if not twice.isEmpty():
         from .components import components

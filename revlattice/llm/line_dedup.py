@@ -39,6 +39,8 @@ MASKS = np.array([((1 << int(b - a)) - 1) << int(a) for a, b in zip(EDGES[:-1],
 KEYS = np.array([MASKS[a] | MASKS[b] for a, b in combinations(range(BLOCKS), BLOCKS - MOST_BITS)], np.uint64)
 #: In larger key groups members are not compared beforehand.
 COMPARED = 512
+#: The bits of a byte in the bytes of an integer.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
 NORMAL = np.full(256, 0x20, np.uint8)
 NORMAL[97:123] = np.arange(97, 123)
 NORMAL[65:91] = np.arange(97, 123)
@@ -67,25 +69,38 @@ class Lines:
         self.word_stop = np.searchsorted(self.word_start, self.end)
         self.counts = np.flatnonzero(self.word_stop - self.word_first >= MIN_WORDS)
 
-    def prints(self) -> tuple[np.ndarray, np.ndarray]:
-        """For the lines that count: the hash of the words in order, and the SimHash."""
+    def _words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lines that count: their words' hashes, where each line's begin, how many they are."""
         h = span_hashes(self.normal, self.word_start, self.word_end)
         size = (self.word_stop - self.word_first)[self.counts]
+        begin = np.cumsum(size) - size
+        return h[np.repeat(self.word_first[self.counts] - begin, size) + np.arange(size.sum())], begin, size
+
+    def ids(self) -> np.ndarray:
+        """For the lines that count: the hash of the words in order."""
+        return self._ids(*self._words())
+
+    @staticmethod
+    def _ids(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if not len(size):
+            return np.zeros(0, np.int64)
+        place = (np.arange(len(h)) - np.repeat(begin, size)).astype(np.uint64)
+        return mix(np.add.reduceat(mix(h + place * C1), begin) + size.astype(np.uint64)).view(np.int64)
+
+    def prints(self) -> tuple[np.ndarray, np.ndarray]:
+        """For the lines that count: the hash of the words in order, and the SimHash."""
+        h, begin, size = self._words()
         if not len(size):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        begin = np.cumsum(size) - size
-        place = np.arange(size.sum()) - np.repeat(begin, size)
-        h = h[np.repeat(self.word_first[self.counts], size) + place]
-        ids = mix(np.add.reduceat(mix(h + place.astype(np.uint64) * C1), begin) + size.astype(np.uint64))
-        votes = np.empty((len(size), 64), np.int64)
-        step = 100_000  # words at a time, in whole lines
-        cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(h), step)), len(size)))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            stop = begin[b] if b < len(begin) else len(h)
-            bits = np.unpackbits(h[begin[a] : stop].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            votes[a:b] = np.add.reduceat(bits, begin[a:b] - begin[a], axis=0, dtype=np.int64)
-        sim = np.packbits(2 * votes > size[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-        return ids.view(np.int64), sim.view(np.int64)
+        # Votes for eight bits in the bytes of one integer; a run of at most 255 words can't overflow one.
+        runs = -(-size // 255)
+        first_run = np.cumsum(runs) - runs
+        start = np.repeat(begin, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first_run, runs))
+        data = h.view(np.uint8).reshape(-1, 8)
+        votes = np.stack([np.add.reduceat(SPREAD[data[:, i]], start) for i in range(8)], 1).view(np.uint8)
+        votes = np.add.reduceat(votes, first_run, axis=0, dtype=np.int64)
+        sim = np.packbits(2 * votes > size[:, None], axis=1).view("<u8").ravel()
+        return self._ids(h, begin, size), sim.view(np.int64)
 
     def text(self, i: int) -> str:
         return b" ".join(self.normal[self.start[i] : self.end[i]].tobytes().split()).decode()
@@ -187,25 +202,38 @@ def _texts(rows: DataFrame, members: Membership) -> DataFrame:
     def work(batches):
         for batch in slices(batches):
             lines = Lines(batch.column("text"))
-            ids, _ = lines.prints()
-            ids, pick = np.unique(ids, return_index=True)
+            ids, pick = np.unique(lines.ids(), return_index=True)
             use = sent.value.may_hold(ids) if len(ids) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array([lines.text(i) for i in lines.counts[pick[use]]], pa.string())], names=["id", "text"])
 
     return rows.mapInArrow(work, "id long, text string").dropDuplicates(["id"])
 
 
+def _near(pairs: DataFrame, sims: DataFrame) -> DataFrame:
+    """The pairs of which the SimHashes differ in few enough bits."""
+    a, b = (sims.select(F.col("id").alias(c), F.col("sim").alias(f"s{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_BITS).select("a", "b")
+
+
+def _cross(keys: DataFrame) -> DataFrame:
+    """cross for linkage: pairs of one key and two components of which the SimHashes differ in few enough bits."""
+    a, b = (keys.select("key", F.col("id").alias(c), F.col("comp").alias(f"c{c}"), F.col("sim").alias(f"s{c}")) for c in "ab")
+    found = a.join(b, "key").where((F.col("ca") < F.col("cb")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_BITS))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _alike(payload: DataFrame, percent: int):
+    """verify for linkage."""
+
     def check(batches):
         for batch in batches:
             ok = pa.array([similar(a, b, percent) for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = payload.select(F.col("id").alias("a"), F.col("sim").alias("sa"), F.col("text").alias("ta"))
-        b = payload.select(F.col("id").alias("b"), F.col("sim").alias("sb"), F.col("text").alias("tb"))
-        near = pairs.join(a, "a").join(b, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_BITS)
-        return near.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+        near = _near(pairs, payload.select("id", "sim"))
+        a, b = (payload.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        return near.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
     return verify
 
@@ -217,16 +245,17 @@ def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct("doc", "rid", "line")
     distinct = materialize(every.groupBy("id").agg(F.min("sim").alias("sim"), F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), "distinct-lines")
     near = materialize(_near_keys(distinct), "near-keys")
-    keys = near.join(distinct.select("sim", "id"), "sim").select("key", "id", "sim")
+    keys = near.hint("merge").join(distinct.select("sim", "id"), "sim").select("key", "id", "sim")
     keys = materialize(keys, "line-keys")
     payload = _texts(rows, Membership.of(keys, "id")).join(keys.select("id", "sim").distinct(), "id")
     payload = materialize(payload, "line-texts")
-    roots = linked(star_pairs(keys), lambda r: mixed_keys(labelled(keys.select("key", "id"), r)), _alike(payload, percent))
-    named = distinct.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").where("n > 1 or root is not null")
+    mixed = lambda roots: mixed_keys(labelled(keys, roots))
+    roots = linked(_near(star_pairs(keys), payload), lambda r: _near(star_pairs(mixed(r)), payload), mixed, _alike(payload, percent), _cross)
+    named = distinct.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").where("n > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "id"))
     stays = named.groupBy("root").agg(F.min("place").alias("stays"))
     repeated = named.select("id", "root").join(stays, "root").select("id", "stays")
-    lost = every.join(repeated, "id").where(~place.eqNullSafe(F.col("stays"))).select("rid", "line").distinct()
+    lost = every.join(repeated.hint("merge"), "id").where(~place.eqNullSafe(F.col("stays"))).select("rid", "line").distinct()
     return materialize(lost.groupBy("rid").agg(F.sort_array(F.collect_list("line")).alias("lines")), "lost-lines")
 
 

@@ -40,25 +40,22 @@ def cross_pairs(keys: DataFrame) -> DataFrame:
     return left.join(right, "key").where("ci < cj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
-def linked(first_pairs: DataFrame, open_keys: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] = cross_pairs) -> DataFrame:
+def linked(first_pairs: DataFrame, open_pairs: Callable[[DataFrame], DataFrame], open_keys: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] = cross_pairs) -> DataFrame:
     """(node, root) of every item that is linked to another.
 
-    first_pairs: (a, b) of the first round. open_keys: from the components so far to (key, id, comp) of the keys whose items
-    lie in several. verify: keeps the pairs (a, b) that are alike. cross: as cross_pairs, may leave out pairs that cannot be.
+    first_pairs: (a, b) of the first round. open_pairs: from the components so far to the pairs of the second, over the keys
+    whose items lie in several. open_keys: from the components after that to (key, id, comp) of such keys. verify: keeps the
+    pairs (a, b) that are alike. cross: as cross_pairs, may leave out pairs that cannot be alike.
     """
     tried = materialize(first_pairs, "pairs")
     links = materialize(verify(tried), "links")
     roots = components(links)
-    mixed = materialize(open_keys(roots), "open-keys")
-    if mixed.isEmpty():
-        return roots
-    again = materialize(star_pairs(mixed).join(tried, ["a", "b"], "left_anti"), "pairs")
+    again = materialize(open_pairs(roots).join(tried, ["a", "b"], "left_anti"), "pairs")
     found = materialize(verify(again), "links")
+    tried = tried.unionByName(again)
     if not found.isEmpty():
-        links, tried = links.unionByName(found), tried.unionByName(again)
+        links = links.unionByName(found)
         roots = components(links)
-        mixed = mixed_keys(labelled(mixed.drop("comp"), roots))
-    else:
-        tried = tried.unionByName(again)
+    mixed = materialize(open_keys(roots), "open-keys")
     last = materialize(verify(cross(mixed).join(tried, ["a", "b"], "left_anti")), "links")
     return roots if last.isEmpty() else components(links.unionByName(last))

@@ -31,6 +31,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def low40(h: np.ndarray) -> bytes:
+    """The low 40 bits of each hash, in five bytes."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def from40(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view("<u8").ravel()
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
