@@ -1,11 +1,12 @@
 """Fuzzy line dedup: one occurrence of each group of alike lines stays, over all documents.
 
 A line is normalised to its words of letters and digits: A-Z lower-cased, every digit 0, other ASCII bytes blanks. Lines of
-fewer than MIN_WORDS such words are left alone. Equal normalised lines are one line with several occurrences. Each has a
-SimHash of 64 bits over its words; lines whose SimHashes differ in at most three bits agree in two of five blocks of bits
-(pigeonhole), so the ten choices of two blocks are the keys of the join. Pairs within three bits are verified by the edit
-similarity of the normalised lines, and connected groups of lines keep their first occurrence in the order of identifier,
-row and line.
+fewer than MIN_WORDS such words are left alone. Equal normalised lines are one line with several occurrences. Lines are alike by
+the edit similarity of their normalised forms alone. Candidates share a key: of lines of SEGMENTED characters or more the
+BANDS keys of a MinHash over windows of GRAM bytes, ROWS minima each; of shorter ones hashes of segments, which miss no
+pair. Pairs whose lengths or sketches (a bit of each minimum) are too far apart are not verified. Connected groups of lines
+keep their first occurrence in the order of identifier, row and line. Of two lines whose windows have Jaccard similarity j,
+a share of (1 - j^ROWS)^BANDS shares no key: under 1 % for one changed word of ten, more for edits in every word.
 
 Only fingerprints travel for all lines. The texts that verification needs are those of lines with a partner, and only
 documents that lose a line meet the list of lines to drop; a Bloom filter of fixed size picks both while documents are read.
@@ -21,13 +22,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linkage import labelled, linked, mixed_keys, star_pairs
 from .membership import Membership, members
 from .runtime import bucket_count, materialize
-from .text import C1, flat, mix, slices, span_hashes, words
+from .text import C1, SPACE, flat, mix, slices, span_hashes, words
 
 MIN_WORDS = 4
 SIMILARITY_PERCENT = 90
@@ -37,6 +39,16 @@ BLOCKS = 5
 EDGES = np.array([0, 13, 26, 39, 52, 64])
 MASKS = np.array([((1 << int(b - a)) - 1) << int(a) for a, b in zip(EDGES[:-1], EDGES[1:], strict=True)], np.uint64)
 KEYS = np.array([MASKS[a] | MASKS[b] for a, b in combinations(range(BLOCKS), BLOCKS - MOST_BITS)], np.uint64)
+#: MinHash over the normalised line's windows of GRAM bytes: BANDS keys of ROWS minima each.
+GRAM, BANDS, ROWS = 6, 16, 3
+FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * C1) | np.uint64(1)).astype(np.uint32)
+#: Windows hashed at once.
+CACHED = 1 << 15
+#: Lines whose sketches, a bit of each minimum, differ in more bits aren't compared; two unlike lines differ in about 24 of 48.
+SKETCH_BITS = 21
+LENGTH = np.uint64(0xFFFF)
+#: Shorter lines (characters) have the keys of segments instead, which miss nothing.
+SEGMENTED = 30
 #: In larger key groups members are not compared beforehand.
 COMPARED = 512
 #: The bits of a byte in the bytes of an integer.
@@ -48,6 +60,23 @@ NORMAL[48:58] = 48
 NORMAL[128:] = np.arange(128, 256)
 
 
+def _minima(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """MinHash: a row for each of FACTORS, a column for each span of at least GRAM bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    window = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * GRAM) - 1)
+    hashes = (mix(window) >> np.uint64(32)).astype(np.uint32)
+    size = end - begin - GRAM + 1
+    before = np.cumsum(size) - size
+    out = np.empty((len(FACTORS), len(size)), np.uint32)
+    cuts = np.flatnonzero(np.append(True, np.diff(before // CACHED) > 0))
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(size)), strict=True):
+        first = before[lo:hi] - before[lo]
+        h = hashes[np.repeat(begin[lo:hi] - first, size[lo:hi]) + np.arange(size[lo:hi].sum())]
+        for j, factor in enumerate(FACTORS):
+            np.minimum.reduceat(h * factor, first, out=out[j, lo:hi])
+    return mix(out.astype(np.uint64) + C1)
+
+
 class Lines:
     """The lines of the rows of a text column."""
 
@@ -102,10 +131,67 @@ class Lines:
         sim = np.packbits(2 * votes > size[:, None], axis=1).view("<u8").ravel()
         return self._ids(h, begin, size), sim.view(np.int64)
 
+    def keys(self, percent: int = 90) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sketches, lines, keys): of different lines that can have a fuzzy partner, and for each key the place of its line."""
+        ids, pick = np.unique(self.ids(), return_index=True)
+        line = self.counts[pick]
+        use = self.word_stop[line] > self.word_first[line]
+        ids, line = ids[use], line[use]
+        blank = SPACE[self.normal]
+        keep = ~blank
+        keep[1:] |= ~blank[:-1]
+        at = np.cumsum(keep) - keep
+        data = self.normal[keep]
+        begin = at[self.word_start[self.word_first[line]]]
+        end = at[self.word_end[self.word_stop[line] - 1] - 1] + 1
+        chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+        length = chars[end] - chars[begin]
+        use = length >= 100 // max(1, 100 - percent)  # shorter ones are like none but themselves
+        ids, begin, end, length = ids[use], begin[use], end[use], length[use]
+        sketch = np.minimum(length, int(LENGTH)).astype(np.uint64)
+        short = length < SEGMENTED
+        place, keys = [], []
+        far = np.flatnonzero(~short)
+        if len(far):
+            least = _minima(data, begin[far], end[far])
+            for j in range(BANDS * ROWS):
+                sketch[far] |= (least[j] & np.uint64(1)) << np.uint64(16 + j)
+            for band in range(BANDS):
+                key = np.full(len(far), band, np.uint64)
+                for j in range(band * ROWS, band * ROWS + ROWS):
+                    key = mix(key * C1 + least[j])
+                place.append(far)
+                keys.append(key)
+        near = np.flatnonzero(short)
+        for i, k in zip(near.tolist(), [segment_keys(data[begin[i] : end[i]].tobytes().decode(), percent) for i in near.tolist()], strict=True):
+            place.append(np.full(len(k), i))
+            keys.append(np.array(k, np.uint64))
+        return ids, sketch, np.concatenate(place or [np.zeros(0, np.int64)]), np.concatenate(keys or [np.zeros(0, np.uint64)])
+
     def text(self, i: int) -> str:
         return b" ".join(self.normal[self.start[i] : self.end[i]].tobytes().split()).decode()
 
 
+def segment_keys(text: str, percent: int) -> list[int]:
+    """Keys of which two short texts within the edit similarity share one.
+
+    Of t + 1 segments of the shorter text, t edits leave one whole, in the longer one at most t places away. t goes by the longer.
+    """
+    out, n = set(), len(text)
+    for t in range(1, SEGMENTED * (100 - percent) // 100 + 1):
+        least = -(-100 * t // (100 - percent))
+        longest = min(SEGMENTED - 1, (100 * (t + 1) - 1) // (100 - percent))
+        if n > longest or n + t < least:
+            continue
+        for m in range(n - t if n >= least else n, n + 1):
+            cuts = [m * i // (t + 1) for i in range(t + 2)]
+            for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                move = t if n >= least else 0
+                for p in range(max(0, lo - move), min(n - (hi - lo), lo + move) + 1):
+                    out.add(xxhash.xxh64_intdigest(f"{t} {m} {i} {text[p : p + hi - lo]}"))
+    return sorted(out)
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance: bit-parallel columns in whole integers, after common ends are taken off."""
     lo, most = 0, min(len(a), len(b))
@@ -140,59 +226,62 @@ def similar(a: str, b: str, percent: int = SIMILARITY_PERCENT) -> bool:
 
 
 def _line_rows(rows: DataFrame) -> DataFrame:
-    """(doc, rid, line, id, sim) of every line that counts."""
+    """(doc, rid, line, id) of every line that counts."""
 
     def work(batches):
         for batch in slices(batches):
             lines = Lines(batch.column("text"))
-            ids, sim = lines.prints()
             row = pa.array(lines.row[lines.counts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(row), batch.column("rid").take(row), pa.array(lines.number[lines.counts].astype(np.int32)), pa.array(ids), pa.array(sim)], names=["doc", "rid", "line", "id", "sim"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(row), batch.column("rid").take(row), pa.array(lines.number[lines.counts].astype(np.int32)), pa.array(lines.ids())], names=["doc", "rid", "line", "id"])
+
+    return rows.mapInArrow(work, "doc long, rid long, line int, id long")
 
-    return rows.mapInArrow(work, "doc long, rid long, line int, id long, sim long")
 
+def _sketch_near(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sketches leave room for edit similarity; 16 low bits are the length."""
+    la, lb = (v & LENGTH for v in (x, y))
+    most = np.maximum(la, lb).astype(np.int64)
+    close = 100 * (most - np.minimum(la, lb).astype(np.int64)) <= (100 - percent) * most
+    few = np.bitwise_count((x ^ y) >> np.uint64(16)) <= SKETCH_BITS
+    return close & (few | (most < SEGMENTED))
 
-def _near_keys(distinct: DataFrame) -> DataFrame:
-    """(key, sim): the keys of SimHashes that share one with another line within three bits (in large key groups: with any)."""
-    buckets = bucket_count(distinct.sparkSession)
+
+def _near_keys(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, id, sim): the keys of lines that share one with another line of a near sketch (in large key groups: with any)."""
+    buckets = bucket_count(rows.sparkSession)
 
     def pack(batches):
-        for batch in batches:
-            sim = np.asarray(batch.column("sim")).view(np.uint64)
-            for j, mask in enumerate(KEYS):
-                bucket = (mix((sim & mask) + np.uint64(j)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), j, np.int32)), pa.array([sim[order[cuts[b] : cuts[b + 1]]].tobytes() for b in full], pa.binary())], names=["bucket", "choice", "sims"])
+        for batch in slices(batches):
+            ids, sketch, line, key = Lines(batch.column("text")).keys(percent)
+            bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            items = np.stack([key, ids.view(np.uint64)[line], sketch[line]], 1)[order]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([items[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "items"])
 
     def near(table: pa.Table) -> pa.Table:
-        choice = table.column("choice").to_numpy()
-        keys, sims = [], []
-        blobs = table.column("sims").to_pylist()
-        for j in np.unique(choice):
-            sim = np.frombuffer(b"".join(blobs[i] for i in np.flatnonzero(choice == j)), np.uint64)
-            masked = sim & KEYS[j]
-            order = np.lexsort((sim, masked))
-            sim, masked = sim[order], masked[order]
-            start = np.flatnonzero(np.append(True, masked[1:] != masked[:-1])[: len(sim)])
-            size = np.repeat(np.diff(np.append(start, len(sim))), np.diff(np.append(start, len(sim))))
-            keep = size > COMPARED
-            left = np.flatnonzero((size > 1) & ~keep)
-            shift = 1
-            while len(left):
-                left = left[left + shift < len(sim)]
-                left = left[masked[left + shift] == masked[left]]
-                hit = left[np.bitwise_count(sim[left] ^ sim[left + shift]) <= MOST_BITS]
-                keep[hit] = keep[hit + shift] = True
-                shift += 1
-            keys.append(mix(masked[keep] + np.uint64(j)).view(np.int64))
-            sims.append(sim[keep].view(np.int64))
-        out = np.unique(np.stack([np.concatenate(keys), np.concatenate(sims)], 1), axis=0)
-        return pa.table({"key": out[:, 0], "sim": out[:, 1]})
-
-    packed = distinct.select("sim").mapInArrow(pack, "bucket int, choice int, sims binary")
-    return packed.groupBy("bucket").applyInArrow(near, "key long, sim long")
+        item = np.frombuffer(b"".join(table.column("items").to_pylist()), np.uint64).reshape(-1, 3)
+        item = item[np.lexsort((item[:, 1], item[:, 0]))]
+        item = item[np.append(True, (item[1:, :2] != item[:-1, :2]).any(1))[: len(item)]]
+        key, _, sketch = (np.ascontiguousarray(c) for c in item.T)
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        size = np.diff(np.append(start, len(key)))
+        size = np.repeat(size, size)
+        keep = size > COMPARED
+        left = np.flatnonzero((size > 1) & ~keep)
+        shift = 1
+        while len(left):
+            left = left[left + shift < len(key)]
+            left = left[key[left + shift] == key[left]]
+            hit = left[_sketch_near(sketch[left], sketch[left + shift], percent)]
+            keep[hit] = keep[hit + shift] = True
+            shift += 1
+        out = item[keep].view(np.int64)
+        return pa.table({"key": out[:, 0], "id": out[:, 1], "sim": out[:, 2]})
+
+    packed = rows.select("text").mapInArrow(pack, "bucket int, items binary")
+    return packed.groupBy("bucket").applyInArrow(near, "key long, id long, sim long")
 
 
 def _texts(rows: DataFrame, members: Membership) -> DataFrame:
@@ -209,17 +298,29 @@ def _texts(rows: DataFrame, members: Membership) -> DataFrame:
     return rows.mapInArrow(work, "id long, text string").dropDuplicates(["id"])
 
 
-def _near(pairs: DataFrame, sims: DataFrame) -> DataFrame:
-    """The pairs of which the SimHashes differ in few enough bits."""
+def _room(percent: int) -> Column:
+    """_sketch_near of the columns sa and sb."""
+    la, lb = (F.col(c).bitwiseAND(int(LENGTH)) for c in ("sa", "sb"))
+    most = F.greatest(la, lb)
+    few = F.bit_count(F.shiftrightunsigned(F.col("sa").bitwiseXOR(F.col("sb")), 16)) <= SKETCH_BITS
+    return (100 * (most - F.least(la, lb)) <= (100 - percent) * most) & (few | (most < SEGMENTED))
+
+
+def _near(pairs: DataFrame, sims: DataFrame, percent: int) -> DataFrame:
+    """The pairs of which the sketches leave room for edit similarity."""
     a, b = (sims.select(F.col("id").alias(c), F.col("sim").alias(f"s{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_BITS).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(_room(percent)).select("a", "b")
+
+
+def _cross(percent: int):
+    """cross for linkage: pairs of one key and two components of which the sketches leave room for edit similarity."""
 
+    def cross(keys: DataFrame) -> DataFrame:
+        a, b = (keys.select("key", F.col("id").alias(c), F.col("comp").alias(f"c{c}"), F.col("sim").alias(f"s{c}")) for c in "ab")
+        found = a.join(b, "key").where((F.col("ca") < F.col("cb")) & _room(percent))
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def _cross(keys: DataFrame) -> DataFrame:
-    """cross for linkage: pairs of one key and two components of which the SimHashes differ in few enough bits."""
-    a, b = (keys.select("key", F.col("id").alias(c), F.col("comp").alias(f"c{c}"), F.col("sim").alias(f"s{c}")) for c in "ab")
-    found = a.join(b, "key").where((F.col("ca") < F.col("cb")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_BITS))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return cross
 
 
 def _alike(payload: DataFrame, percent: int):
@@ -231,7 +332,7 @@ def _alike(payload: DataFrame, percent: int):
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = _near(pairs, payload.select("id", "sim"))
+        near = _near(pairs, payload.select("id", "sim"), percent)
         a, b = (payload.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         return near.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
@@ -243,14 +344,12 @@ def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     every = materialize(_line_rows(rows), "lines")
     place = F.struct("doc", "rid", "line")
-    distinct = materialize(every.groupBy("id").agg(F.min("sim").alias("sim"), F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), "distinct-lines")
-    near = materialize(_near_keys(distinct), "near-keys")
-    keys = near.hint("merge").join(distinct.select("sim", "id"), "sim").select("key", "id", "sim")
-    keys = materialize(keys, "line-keys")
+    distinct = materialize(every.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), "distinct-lines")
+    keys = materialize(_near_keys(rows, percent), "line-keys")
     payload = _texts(rows, Membership.of(keys, "id")).join(keys.select("id", "sim").distinct(), "id")
     payload = materialize(payload, "line-texts")
     mixed = lambda roots: mixed_keys(labelled(keys, roots))
-    roots = linked(_near(star_pairs(keys), payload), lambda r: _near(star_pairs(mixed(r)), payload), mixed, _alike(payload, percent), _cross)
+    roots = linked(_near(star_pairs(keys), payload, percent), lambda r: _near(star_pairs(mixed(r)), payload, percent), mixed, _alike(payload, percent), _cross(percent))
     named = distinct.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").where("n > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "id"))
     stays = named.groupBy("root").agg(F.min("place").alias("stays"))

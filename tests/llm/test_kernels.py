@@ -134,6 +134,19 @@ def test_simhash_keys_cover_three_bits():
         assert any((a & int(m)) == (b & int(m)) for m in line_dedup.KEYS)
 
 
+def test_segments_of_short_lines_miss_no_pair():
+    r = random.Random(16)
+    for _ in range(3000):
+        a = [r.choice("ab\u00e9 c") for _ in range(r.randint(10, 29))]
+        b = list(a)
+        for _ in range(r.randint(1, 2)):
+            i = r.randrange(len(b))
+            b[i : i + r.randint(0, 1)] = r.choice(["", "x", "a"])
+        a, b = "".join(a), "".join(b)
+        if line_dedup.similar(a, b) and max(len(a), len(b)) < line_dedup.SEGMENTED:
+            assert set(line_dedup.segment_keys(a, 90)) & set(line_dedup.segment_keys(b, 90)), (a, b)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 2048), max_size=80))
 def test_packing_windows(sizes):

@@ -243,6 +243,25 @@ def test_line_dedup(spark, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_by_edit_similarity_alone(spark):
+    """One word of 10, 20 or 40 replaced, and one letter of short lines: whatever the SimHashes, of each pair one line stays."""
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    pairs = []
+    for k in [10, 20, 40] * 12:
+        w = [word() for _ in range(k)]
+        i = r.randrange(k)
+        pairs.append((" ".join(w), " ".join([*w[:i], word(), *w[i + 1 :]])))
+    for _ in range(12):
+        t = " ".join(word() for _ in range(5))
+        i = r.randrange(len(t))
+        pairs.append((t, f"{t[:i]}q{t[i + 1:]}"))
+    assert all(line_dedup.similar(a, b) for a, b in pairs)
+    rows = [(2 * i + j, x, "s") for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    got = {x.doc_id: x.n_dropped for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {i: i % 2 for i, _, _ in rows}
+
+
 @pytest.mark.parametrize("largest", [True, False])
 @pytest.mark.parametrize("short", [False, True])
 def test_exact_dedup(spark, docs, rows, nothing, monkeypatch, largest, short):
