@@ -1,7 +1,8 @@
 """Fuzzy line dedup: one occurrence of each group of alike lines stays, over all documents.
 
-A line is normalised to its words of letters and digits: A-Z lower-cased, every digit 0, other ASCII bytes blanks. Lines of
-fewer than MIN_WORDS such words are left alone. Equal normalised lines are one line with several occurrences. Lines are alike by
+A line is normalised to its words of letters and digits: A-Z lower-cased, every digit 0, other ASCII bytes blanks. Every
+line that isn't blank takes part; one without such words (a rule, a bracket) counts as its own bytes without blanks at the
+ends, and has no fuzzy partner. Equal normalised lines are one line with several occurrences. Lines are alike by
 the edit similarity of their normalised forms alone. Candidates share a key: of lines of SEGMENTED characters or more the
 BANDS keys of a MinHash over windows of GRAM bytes, ROWS minima each; of shorter ones hashes of segments, which miss no
 pair. Pairs whose lengths or sketches (a bit of each minimum) are too far apart are not verified. Connected groups of lines
@@ -31,7 +32,6 @@ from .membership import Membership, members
 from .runtime import bucket_count, materialize
 from .text import C1, SPACE, flat, mix, slices, span_hashes, words
 
-MIN_WORDS = 4
 SIMILARITY_PERCENT = 90
 MOST_BITS = 3
 BLOCKS = 5
@@ -96,18 +96,31 @@ class Lines:
         self.word_start, self.word_end, _ = words(self.normal, at)
         self.word_first = np.searchsorted(self.word_start, self.start)
         self.word_stop = np.searchsorted(self.word_start, self.end)
-        self.counts = np.flatnonzero(self.word_stop - self.word_first >= MIN_WORDS)
+        ink = np.flatnonzero(~SPACE[self.data])
+        self.counts = np.flatnonzero(np.searchsorted(ink, self.end) > np.searchsorted(ink, self.start))
+        self.worded = (self.word_stop > self.word_first)[self.counts]
+
+    def _raw(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.end[i]].tobytes().strip()
+
+    def _filled(self, of_words: np.ndarray) -> np.ndarray:
+        """For the lines that count: what those with words have, or a hash of the line's own bytes."""
+        out = np.empty(len(self.counts), np.int64)
+        out[self.worded] = of_words
+        out[~self.worded] = np.array([xxhash.xxh64_intdigest(self._raw(i), 1) for i in self.counts[~self.worded]], np.uint64).view(np.int64)
+        return out
 
     def _words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the lines that count: their words' hashes, where each line's begin, how many they are."""
+        """Of the lines with words: their words' hashes, where each line's begin, how many they are."""
         h = span_hashes(self.normal, self.word_start, self.word_end)
-        size = (self.word_stop - self.word_first)[self.counts]
+        line = self.counts[self.worded]
+        size = (self.word_stop - self.word_first)[line]
         begin = np.cumsum(size) - size
-        return h[np.repeat(self.word_first[self.counts] - begin, size) + np.arange(size.sum())], begin, size
+        return h[np.repeat(self.word_first[line] - begin, size) + np.arange(size.sum())], begin, size
 
     def ids(self) -> np.ndarray:
-        """For the lines that count: the hash of the words in order."""
-        return self._ids(*self._words())
+        """For the lines that count: the hash of the words in order, without words of the line's own bytes."""
+        return self._filled(self._ids(*self._words()))
 
     @staticmethod
     def _ids(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -117,10 +130,10 @@ class Lines:
         return mix(np.add.reduceat(mix(h + place * C1), begin) + size.astype(np.uint64)).view(np.int64)
 
     def prints(self) -> tuple[np.ndarray, np.ndarray]:
-        """For the lines that count: the hash of the words in order, and the SimHash."""
+        """For the lines that count: as ids(), and the SimHash."""
         h, begin, size = self._words()
         if not len(size):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return (out := self._filled(np.zeros(0, np.int64))), out
         # Votes for eight bits in the bytes of one integer; a run of at most 255 words can't overflow one.
         runs = -(-size // 255)
         first_run = np.cumsum(runs) - runs
@@ -129,7 +142,7 @@ class Lines:
         votes = np.stack([np.add.reduceat(SPREAD[data[:, i]], start) for i in range(8)], 1).view(np.uint8)
         votes = np.add.reduceat(votes, first_run, axis=0, dtype=np.int64)
         sim = np.packbits(2 * votes > size[:, None], axis=1).view("<u8").ravel()
-        return self._ids(h, begin, size), sim.view(np.int64)
+        return self._filled(self._ids(h, begin, size)), self._filled(sim.view(np.int64))
 
     def keys(self, percent: int = 90) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, sketches, lines, keys): of different lines that can have a fuzzy partner, and for each key the place of its line."""
@@ -169,7 +182,7 @@ class Lines:
         return ids, sketch, np.concatenate(place or [np.zeros(0, np.int64)]), np.concatenate(keys or [np.zeros(0, np.uint64)])
 
     def text(self, i: int) -> str:
-        return b" ".join(self.normal[self.start[i] : self.end[i]].tobytes().split()).decode()
+        return (b" ".join(self.normal[self.start[i] : self.end[i]].tobytes().split()) or self._raw(i)).decode()
 
 
 def segment_keys(text: str, percent: int) -> list[int]:

@@ -262,6 +262,14 @@ def test_line_dedup_by_edit_similarity_alone(spark):
     assert got == {i: i % 2 for i, _, _ in rows}
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Lines of one to three words, of a script without blanks and of signs only are deduplicated; blank lines stay."""
+    lines = ["Read more", "Home", "All rights reserved", "\u8fd9\u662f\u4e00\u884c\u6ca1\u6709\u7a7a\u683c\u7684\u6587\u5b57", "* * *", "-----", "", "  "]
+    rows = [(1, "\n".join(lines), "s"), (2, "\n".join(["READ  more!", *lines[1:], "Rest"]), "s"), (3, "***", "s"), (4, "Menu", "s")]
+    got = {x.doc_id: (x.text, x.n_dropped) for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n  \nRest", 6), 3: ("***", 0), 4: ("Menu", 0)}
+
+
 @pytest.mark.parametrize("largest", [True, False])
 @pytest.mark.parametrize("short", [False, True])
 def test_exact_dedup(spark, docs, rows, nothing, monkeypatch, largest, short):
