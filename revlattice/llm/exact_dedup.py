@@ -6,8 +6,9 @@ larger run tells which digests of the smaller need a search in it. An entry keep
 the number of rows. Rows whose digest hits an entry of several rows are verified byte for byte against the row that stays.
 
 Defined results: a null text counts as empty; a null identifier is below all others and stays only if all of its group are
-null; repeated identifiers count as separate rows of which exactly one, if it stays, is marked kept (the others count as its
-copies); an empty table gives an empty result. Columns other than the identifier and the text are not read.
+null; repeated identifiers count as separate rows, and every row of the staying identifier is marked kept, so that rows of
+equal identifier and text, or equal texts that all have a null identifier, all stay; an empty table gives an empty result.
+Columns other than the identifier and the text are not read.
 """
 
 from __future__ import annotations
