@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linkage import labelled, linked
+from .linkage import block_pairs, labelled, linked
 from .membership import Membership, kept
 from .membership import members as may_be
-from .runtime import bucket_count, materialize
+from .runtime import bounded_batches, bucket_count, materialize
 from .text import C1, C2, C3, SHINGLE_WORDS, from40, joined, low40, mix, shingle_sets, slices
 
 THRESHOLD_PERCENT = 75
@@ -41,6 +41,8 @@ THRESHOLD_PERCENT = 75
 BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 65_000
 SHARED = 0xFFFF
+#: Bytes of shingles that signatures are made of, or that are compared, at once (a larger single set makes a slice of its own).
+SET_BYTES = 2 << 20
 #: Parts whose signatures the first round of linkage uses.
 FIRST_PARTS = 3
 #: Length of a parity sketch.
@@ -225,14 +227,13 @@ def _flat_sets(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _signature_groups(sets: DataFrame, percent: int, parts: int | None, emit, schema: str) -> DataFrame:
-    """Signatures in packed blocks by hash range; emit(signatures, ids, components) gives a range's table, from arrays in the order of signature, id."""
+    """Signatures in packed blocks by hash range; emit(signatures, ids, components) gives the columns of a range's table, from arrays in the order of signature, id."""
     buckets = bucket_count(sets.sparkSession, 1)  # few, since a set's identifier goes to each that has one of its signatures
     names = [c.split()[0] for c in schema.split(", ")]
 
     def pack(batches):
-        for big in batches:
-            for start in range(0, big.num_rows, 2000):
-                batch = big.slice(start, 2000)
+        for whole in slices(batches, SET_BYTES, "shingles"):
+            for batch in (whole.slice(i, BLOCK_ROWS) for i in range(0, whole.num_rows, BLOCK_ROWS)):
                 h, first, ids = _flat_sets(batch)
                 comp = np.asarray(batch.column("comp"))
                 sig, owner = signatures(h, first, percent, parts)
@@ -265,7 +266,7 @@ def _signature_groups(sets: DataFrame, percent: int, parts: int | None, emit, sc
         order = order[inside]
         sig, ids, comp = sig[order], ids[owner[order]], comp[owner[order]]
         order = np.lexsort((ids, sig))
-        return pa.table([pa.array(c, pa.int64()) for c in emit(sig[order], ids[order], comp[order])], names=names)
+        return pa.table([pa.array(c) for c in emit(sig[order], ids[order], comp[order])], names=names)
 
     packed = sets.select("id", "comp", "shingles").mapInArrow(pack, "bucket int, sigs binary, owners binary, ids binary, comps binary")
     return packed.groupBy("bucket").applyInArrow(group, schema)
@@ -284,13 +285,34 @@ def _open_stars(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray):
     return pairs[:, 0], pairs[:, 1]
 
 
-def _open(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray):
+def _open_lists(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray):
+    """(key, members): of signatures whose items lie in several components the items; key is a hash of them, and each list comes once."""
     start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
     if not len(start):
-        return sig.view(np.int64), ids, comp
-    mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
-    keep = np.repeat(mixed, np.diff(np.append(start, len(sig))))
-    return sig[keep].view(np.int64), ids[keep], comp[keep]
+        return np.zeros(0, np.int64), pa.array([], pa.binary())
+    # A set may have a signature more than once.
+    new = np.append(True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1]))
+    sig, ids, comp = sig[new], ids[new], comp[new]
+    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    mixed = np.flatnonzero(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start))
+    stop = np.append(start[1:], len(sig))
+    name = mix(np.add.reduceat(mix(ids.view(np.uint64) ^ C2), start) + (stop - start).astype(np.uint64) * C1).view(np.int64)[mixed]
+    name, pick = np.unique(name, return_index=True)
+    data = ids.tobytes()
+    return name, pa.array([data[8 * start[i] : 8 * stop[i]] for i in mixed[pick]], pa.binary())
+
+
+def _listed(lists: DataFrame) -> DataFrame:
+    """(key, id, n_rows): the members of lists."""
+
+    def spread(batches):
+        for batch in slices(batches, SET_BYTES, "members"):
+            blobs = batch.column("members").to_pylist()
+            size = np.array([len(b) // 8 for b in blobs], np.int64)
+            key = np.repeat(np.asarray(batch.column("key")), size)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(np.repeat(size, size))], names=["key", "id", "n_rows"])
+
+    return lists.mapInArrow(spread, "key long, id long, n_rows long")
 
 
 def _can_be(percent: int):
@@ -301,17 +323,31 @@ def _can_be(percent: int):
     return (differ <= room) & (F.abs(F.col("na") - F.col("nb")) <= room)
 
 
-def _info(sets: DataFrame, side: str) -> DataFrame:
+INFO = ["n", *(f"s{i}" for i in range(SKETCH_LONGS))]
+
+
+def _side(info: DataFrame, side: str) -> DataFrame:
     """Sizes and sketches of the sets, with the columns' names for one side of a pair."""
-    rows = sets.select("id", "n", *(f"s{i}" for i in range(SKETCH_LONGS))).distinct()
-    return rows.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), *(F.col(f"s{i}").alias(f"{side}{i}") for i in range(SKETCH_LONGS)))
+    return info.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), *(F.col(f"s{i}").alias(f"{side}{i}") for i in range(SKETCH_LONGS)))
+
+
+def _near(percent: int):
+    """_can_be for block_pairs."""
 
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = a[:, 0] + b[:, 0]
+        room = both + 2 * (-percent * both // (100 + percent))
+        differ = np.bitwise_count((a[:, 1:] ^ b[:, 1:]).view(np.uint64)).sum(1, dtype=np.int64)
+        return (differ <= room) & (np.abs(a[:, 0] - b[:, 0]) <= room)
 
-def _alike(sets: DataFrame, percent: int):
+    return near
+
+
+def _alike(sets: DataFrame, info: DataFrame, percent: int):
     """verify for linkage: the pairs of sets of at least the threshold."""
 
     def check(batches):
-        for batch in batches:
+        for batch in slices(batches, SET_BYTES, "sa"):
             a, b = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
             ok = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -323,7 +359,7 @@ def _alike(sets: DataFrame, percent: int):
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = materialize(pairs.join(_info(sets, "a"), "a").join(_info(sets, "b"), "b").where(_can_be(percent)).select("a", "b"), "near-pairs")
+        near = materialize(pairs.join(_side(info, "a"), "a").join(_side(info, "b"), "b").where(_can_be(percent)).select("a", "b"), "near-pairs")
         needed = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
         sent = sets.sparkSession.sparkContext.broadcast(Membership.of(needed, "id"))
         some = sets.select("id", "shingles").mapInArrow(lambda batches: kept(batches, sent, "id"), "id long, shingles binary")
@@ -333,20 +369,9 @@ def _alike(sets: DataFrame, percent: int):
     return verify
 
 
-def _cross(sets: DataFrame, percent: int):
-    """cross for linkage: pairs of one signature and two components that can be alike by size and sketch."""
-
-    def pairs(keys: DataFrame) -> DataFrame:
-        a = keys.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")).join(_info(sets, "a"), "a")
-        b = keys.select("key", F.col("id").alias("b"), F.col("comp").alias("cb")).join(_info(sets, "b"), "b")
-        found = a.join(b, "key").where((F.col("ca") < F.col("cb")) & _can_be(percent))
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    return pairs
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     send = docs.sparkSession.sparkContext.broadcast
     rows = materialize(_members(docs, width), "members")
@@ -356,12 +381,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = materialize(_sets_of(docs, send(Membership.of(near, "doc_id")), width), "sets")
     first = _signature_groups(sets.select("id", "shingles", F.col("id").alias("comp")), percent, FIRST_PARTS, _stars, "a long, b long").distinct()
 
+    info = materialize(sets.select("id", F.col("n").cast("long").alias("n"), *INFO[1:]).distinct(), "set-sketches")
+
     def over_all(roots: DataFrame, emit, schema: str) -> DataFrame:
         return _signature_groups(labelled(sets.select("id", "shingles"), roots), percent, None, emit, schema)
 
-    roots = linked(
-        first, lambda r: over_all(r, _open_stars, "a long, b long").distinct(), lambda r: over_all(r, _open, "key long, id long, comp long"), _alike(sets, percent), _cross(sets, percent)
-    )
+    def open_lists(roots: DataFrame) -> DataFrame:
+        lists = over_all(roots, _open_lists, "key long, members binary").dropDuplicates(["key"])
+        return _listed(lists).join(labelled(info, roots), "id")
+
+    roots = linked(first, lambda r: over_all(r, _open_stars, "a long, b long").distinct(), open_lists, _alike(sets, info, percent), lambda items: block_pairs(items, INFO, _near(percent)))
     twice = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     if not twice.isEmpty():
         from .components import components

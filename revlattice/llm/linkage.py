@@ -9,11 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import materialize
+from .runtime import bucket_count, materialize
+
+#: Items of a key that are compared at once; the items of a larger key are dealt to tiles of about that size.
+TILE = 2048
 
 
 def star_pairs(keys: DataFrame) -> DataFrame:
@@ -29,23 +34,51 @@ def labelled(keys: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def mixed_keys(keys: DataFrame) -> DataFrame:
-    """Of labelled keys those whose items lie in several components."""
-    open_keys = keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return keys.join(open_keys, "key", "left_semi")
-
+    """Of labelled keys those whose items lie in several components, with n, the number of their rows."""
+    open_keys = keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n_rows")).where("lo < hi")
+    return keys.join(open_keys.select("key", "n_rows"), "key")
 
-def cross_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b): pairs of a key's items that lie in two components, each pair once."""
-    left, right = keys.select("key", F.col("id").alias("i"), F.col("comp").alias("ci")), keys.select("key", F.col("id").alias("j"), F.col("comp").alias("cj"))
-    return left.join(right, "key").where("ci < cj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
+def block_pairs(items: DataFrame, info: list[str], near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, b): pairs of a key's items that lie in two components and that near lets pass, each pair once.
 
-def linked(first_pairs: DataFrame, open_pairs: Callable[[DataFrame], DataFrame], open_keys: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] = cross_pairs) -> DataFrame:
+    items: (key, id, comp, n_rows, then the long columns `info`); near: from two arrays of info, a row for each pair, to a
+    mask. A task compares whole blocks, so that no row is made for a pair that near refuses. The items of a key of over TILE
+    rows are dealt to tiles; each pair of tiles is a block of its own, wherever it lands.
+    """
+    buckets = bucket_count(items.sparkSession)
+    tiles = F.ceil(F.col("n_rows") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("id"), tiles).cast("int").alias("own")
+    dealt = items.select("key", "id", "comp", *info, own, F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select(block.alias("block"), "id", "comp", F.col("own").cast("long").alias("own"), (F.col("own") == F.col("other")).cast("long").alias("alone"), *info)
+
+    def compare(table: pa.Table) -> pa.Table:
+        block, ids, comp, own, alone, *rest = (np.asarray(table.column(c)) for c in ("block", "id", "comp", "own", "alone", *info))
+        order = np.lexsort((ids, own, block))
+        block, ids, comp, own, alone = block[order], ids[order], comp[order], own[order], alone[order]
+        rest = np.stack([c[order] for c in rest], 1) if rest else np.zeros((len(ids), 0), np.int64)
+        left, shift, found = np.arange(len(block)), 1, []
+        while len(left):
+            left = left[left + shift < len(block)]
+            left = left[block[left + shift] == block[left]]
+            i = left[(comp[left] != comp[left + shift]) & ((own[left] != own[left + shift]) | (alone[left] == 1))]
+            i = i[near(rest[i], rest[i + shift])] if len(i) else i
+            if len(i):
+                found.append(np.stack([np.minimum(ids[i], ids[i + shift]), np.maximum(ids[i], ids[i + shift])], 1))
+            shift += 1
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return dealt.groupBy(F.pmod("block", F.lit(buckets)).alias("bucket")).applyInArrow(compare, "a long, b long").distinct()
+
+
+def linked(first_pairs: DataFrame, open_pairs: Callable[[DataFrame], DataFrame], open_keys: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of every item that is linked to another.
 
     first_pairs: (a, b) of the first round. open_pairs: from the components so far to the pairs of the second, over the keys
-    whose items lie in several. open_keys: from the components after that to (key, id, comp) of such keys. verify: keeps the
-    pairs (a, b) that are alike. cross: as cross_pairs, may leave out pairs that cannot be alike.
+    whose items lie in several. open_keys: from the components after that to such keys, in a form of the caller's. verify: keeps
+    the pairs (a, b) that are alike. cross: from those keys to pairs in two components, but for pairs that cannot be alike.
     """
     tried = materialize(first_pairs, "pairs")
     links = materialize(verify(tried), "links")

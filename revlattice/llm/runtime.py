@@ -33,3 +33,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def bucket_count(spark: SparkSession, per_partition: int = 4) -> int:
     """Buckets of a packed exchange: several to a shuffle partition, so that hashing them to partitions stays even."""
     return per_partition * shuffle_partitions(spark)
+
+
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's batches to Python workers hold at most about BATCH_BYTES (or one row); Spark's own bound is 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
