@@ -3,11 +3,17 @@
 A line is normalised to its words of letters and digits: A-Z lower-cased, every digit 0, other ASCII bytes blanks. Every
 line that isn't blank takes part; one without such words (a rule, a bracket) counts as its own bytes without blanks at the
 ends, and has no fuzzy partner. Equal normalised lines are one line with several occurrences. Lines are alike by
-the edit similarity of their normalised forms alone. Candidates share a key: of lines of SEGMENTED characters or more the
-BANDS keys of a MinHash over windows of GRAM bytes, ROWS minima each; of shorter ones hashes of segments, which miss no
-pair. Pairs whose lengths or sketches (a bit of each minimum) are too far apart are not verified. Connected groups of lines
-keep their first occurrence in the order of identifier, row and line. Of two lines whose windows have Jaccard similarity j,
-a share of (1 - j^ROWS)^BANDS shares no key: under 1 % for one changed word of ten, more for edits in every word.
+the edit similarity of their normalised forms alone. Candidates share a key and have near SimHashes:
+
+* below SEGMENTED characters keys are hashes of segments, which miss no pair;
+* below LONG characters, or with few words, BANDS keys of a MinHash over windows of GRAM bytes, ROWS minima each;
+* else WORD_BANDS keys of a MinHash over runs of WORD_RUN words, WORD_ROWS minima each.
+
+Pigeonhole blocks of a SimHash alone lose most alike lines (one changed word moves more bits than its blocks forgive), so the
+SimHash, over words, only thins out the pairs of a key. Keys travel in five bytes, with two more that tell the lines of a key
+apart; only lines that share one with another line are then listed. Connected groups of lines keep their first occurrence in
+the order of identifier, row and line. Of two lines whose runs have Jaccard similarity j, a share of (1 - j^ROWS)^BANDS shares
+no key: under 1 % for one changed word of ten, more for edits in every word.
 
 Only fingerprints travel for all lines. The texts that verification needs are those of lines with a partner, and only
 documents that lose a line meet the list of lines to drop; a Bloom filter of fixed size picks both while documents are read.
@@ -19,7 +25,7 @@ columns pass through.
 
 from __future__ import annotations
 
-from itertools import combinations
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +33,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linkage import labelled, linked, mixed_keys, star_pairs
+from .linkage import block_pairs, labelled, linked, mixed_keys
 from .membership import Membership, members
-from .runtime import bucket_count, materialize
-from .text import C1, SPACE, flat, mix, slices, span_hashes, words
+from .runtime import bounded_batches, bucket_count, materialize
+from .text import C1, SPACE, flat, from40, low40, mix, slices, span_hashes, words
 
 SIMILARITY_PERCENT = 90
-MOST_BITS = 3
-BLOCKS = 5
-#: Bits of each of the five blocks.
-EDGES = np.array([0, 13, 26, 39, 52, 64])
-MASKS = np.array([((1 << int(b - a)) - 1) << int(a) for a, b in zip(EDGES[:-1], EDGES[1:], strict=True)], np.uint64)
-KEYS = np.array([MASKS[a] | MASKS[b] for a, b in combinations(range(BLOCKS), BLOCKS - MOST_BITS)], np.uint64)
+#: Below so many characters lines have the keys of segments, below LONG those of windows, else those of runs of words.
+SEGMENTED, LONG = 30, 100
 #: MinHash over the normalised line's windows of GRAM bytes: BANDS keys of ROWS minima each.
 GRAM, BANDS, ROWS = 6, 16, 3
-FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * C1) | np.uint64(1)).astype(np.uint32)
+#: MinHash over runs of WORD_RUN words. Lines of fewer than FEW_WORDS words have keys of windows, of MANY_WORDS or more none.
+WORD_RUN, WORD_BANDS, WORD_ROWS = 3, 14, 2
+FEW_WORDS, MANY_WORDS = 6, 12
+FACTORS = (mix(np.arange(1, max(BANDS * ROWS, WORD_BANDS * WORD_ROWS) + 1, dtype=np.uint64) * C1) | np.uint64(1)).astype(np.uint32)
 #: Windows hashed at once.
 CACHED = 1 << 15
-#: Lines whose sketches, a bit of each minimum, differ in more bits aren't compared; two unlike lines differ in about 24 of 48.
-SKETCH_BITS = 21
+#: Lines whose SimHashes differ in more of their 48 bits aren't compared (where the longer one is short, and where it isn't); those of unlike lines differ in about 20 to 24.
+SKETCH_BITS = 20, 16
+#: Lines of fewer characters have too few words for a SimHash to tell.
+SKETCHED = 60
 LENGTH = np.uint64(0xFFFF)
-#: Shorter lines (characters) have the keys of segments instead, which miss nothing.
-SEGMENTED = 30
 #: In larger key groups members are not compared beforehand.
 COMPARED = 512
+#: Lines of one packed block.
+BLOCK_LINES = 65_000
+#: Bytes of text whose keys are made, or that are compared, at once.
+TEXT_BYTES = 4 << 20
 #: The bits of a byte in the bytes of an integer.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
 NORMAL = np.full(256, 0x20, np.uint8)
@@ -60,21 +69,23 @@ NORMAL[48:58] = 48
 NORMAL[128:] = np.arange(128, 256)
 
 
-def _minima(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """MinHash: a row for each of FACTORS, a column for each span of at least GRAM bytes."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    window = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * GRAM) - 1)
-    hashes = (mix(window) >> np.uint64(32)).astype(np.uint32)
-    size = end - begin - GRAM + 1
+def _banded(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray, bands: int, rows: int, salt: int) -> list[np.ndarray]:
+    """For each band the key of each run of `size` hashes (at least one) from `begin` on: a hash of `rows` minima."""
     before = np.cumsum(size) - size
-    out = np.empty((len(FACTORS), len(size)), np.uint32)
+    least = np.empty((bands * rows, len(size)), np.uint32)
     cuts = np.flatnonzero(np.append(True, np.diff(before // CACHED) > 0))
     for lo, hi in zip(cuts, np.append(cuts[1:], len(size)), strict=True):
         first = before[lo:hi] - before[lo]
         h = hashes[np.repeat(begin[lo:hi] - first, size[lo:hi]) + np.arange(size[lo:hi].sum())]
-        for j, factor in enumerate(FACTORS):
-            np.minimum.reduceat(h * factor, first, out=out[j, lo:hi])
-    return mix(out.astype(np.uint64) + C1)
+        for j in range(bands * rows):
+            np.minimum.reduceat(h * FACTORS[j], first, out=least[j, lo:hi])
+    keys = []
+    for band in range(bands):
+        key = np.full(len(size), band + salt, np.uint64)
+        for j in range(band * rows, band * rows + rows):
+            key = mix(key * C1 + least[j])
+        keys.append(key)
+    return keys
 
 
 class Lines:
@@ -129,11 +140,9 @@ class Lines:
         place = (np.arange(len(h)) - np.repeat(begin, size)).astype(np.uint64)
         return mix(np.add.reduceat(mix(h + place * C1), begin) + size.astype(np.uint64)).view(np.int64)
 
-    def prints(self) -> tuple[np.ndarray, np.ndarray]:
-        """For the lines that count: as ids(), and the SimHash."""
-        h, begin, size = self._words()
-        if not len(size):
-            return (out := self._filled(np.zeros(0, np.int64))), out
+    @staticmethod
+    def _prints(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The SimHashes of lines of words."""
         # Votes for eight bits in the bytes of one integer; a run of at most 255 words can't overflow one.
         runs = -(-size // 255)
         first_run = np.cumsum(runs) - runs
@@ -141,15 +150,17 @@ class Lines:
         data = h.view(np.uint8).reshape(-1, 8)
         votes = np.stack([np.add.reduceat(SPREAD[data[:, i]], start) for i in range(8)], 1).view(np.uint8)
         votes = np.add.reduceat(votes, first_run, axis=0, dtype=np.int64)
-        sim = np.packbits(2 * votes > size[:, None], axis=1).view("<u8").ravel()
-        return self._filled(self._ids(h, begin, size)), self._filled(sim.view(np.int64))
+        return np.packbits(2 * votes > size[:, None], axis=1).view("<u8").ravel()
 
-    def keys(self, percent: int = 90) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def keys(self, percent: int = SIMILARITY_PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, sketches, lines, keys): of different lines that can have a fuzzy partner, and for each key the place of its line."""
-        ids, pick = np.unique(self.ids(), return_index=True)
-        line = self.counts[pick]
-        use = self.word_stop[line] > self.word_first[line]
-        ids, line = ids[use], line[use]
+        none = np.zeros(0, np.int64)
+        if not self.worded.any():
+            return none, none.view(np.uint64), none, none.view(np.uint64)
+        h, word, count = self._words()
+        ids, pick = np.unique(self._ids(h, word, count), return_index=True)
+        sketch = self._prints(h, word, count)[pick] << np.uint64(16)
+        line, word, count = self.counts[self.worded][pick], word[pick], count[pick]
         blank = SPACE[self.normal]
         keep = ~blank
         keep[1:] |= ~blank[:-1]
@@ -160,26 +171,29 @@ class Lines:
         chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
         length = chars[end] - chars[begin]
         use = length >= 100 // max(1, 100 - percent)  # shorter ones are like none but themselves
-        ids, begin, end, length = ids[use], begin[use], end[use], length[use]
-        sketch = np.minimum(length, int(LENGTH)).astype(np.uint64)
-        short = length < SEGMENTED
+        ids, sketch, word, count, begin, end, length = (x[use] for x in (ids, sketch, word, count, begin, end, length))
+        sketch |= np.minimum(length, int(LENGTH)).astype(np.uint64)
+        # Classes overlap, so that lines within the edit similarity have one in common.
         place, keys = [], []
-        far = np.flatnonzero(~short)
-        if len(far):
-            least = _minima(data, begin[far], end[far])
-            for j in range(BANDS * ROWS):
-                sketch[far] |= (least[j] & np.uint64(1)) << np.uint64(16 + j)
-            for band in range(BANDS):
-                key = np.full(len(far), band, np.uint64)
-                for j in range(band * ROWS, band * ROWS + ROWS):
-                    key = mix(key * C1 + least[j])
-                place.append(far)
-                keys.append(key)
-        near = np.flatnonzero(short)
+        windows = np.flatnonzero((length >= SEGMENTED * percent // 100) & ((length <= LONG * 100 // percent) | (count < MANY_WORDS)))
+        if len(windows):
+            eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+            hashes = (mix(eight & np.uint64((1 << 8 * GRAM) - 1)) >> np.uint64(32)).astype(np.uint32)
+            keys += (found := _banded(hashes, begin[windows], (end - begin)[windows] - GRAM + 1, BANDS, ROWS, 0))
+            place += [windows] * len(found)
+        runs = np.flatnonzero((length >= LONG) & (count >= FEW_WORDS))
+        if len(runs):
+            rolled = np.zeros(len(h) - WORD_RUN + 1, np.uint64)
+            for j in range(WORD_RUN):
+                rolled = rolled * C1 + h[j : j + len(rolled)]
+            hashes = (mix(rolled) >> np.uint64(32)).astype(np.uint32)
+            keys += (found := _banded(hashes, word[runs], count[runs] - WORD_RUN + 1, WORD_BANDS, WORD_ROWS, BANDS))
+            place += [runs] * len(found)
+        near = np.flatnonzero(length < SEGMENTED)
         for i, k in zip(near.tolist(), [segment_keys(data[begin[i] : end[i]].tobytes().decode(), percent) for i in near.tolist()], strict=True):
             place.append(np.full(len(k), i))
             keys.append(np.array(k, np.uint64))
-        return ids, sketch, np.concatenate(place or [np.zeros(0, np.int64)]), np.concatenate(keys or [np.zeros(0, np.uint64)])
+        return ids, sketch, np.concatenate(place or [none]), np.concatenate(keys or [none.view(np.uint64)])
 
     def text(self, i: int) -> str:
         return (b" ".join(self.normal[self.start[i] : self.end[i]].tobytes().split()) or self._raw(i)).decode()
@@ -205,27 +219,38 @@ def segment_keys(text: str, percent: int) -> list[int]:
     return sorted(out)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance: bit-parallel columns in whole integers, after common ends are taken off."""
-    lo, most = 0, min(len(a), len(b))
-    while lo < most and a[lo] == b[lo]:
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance: bit-parallel columns in whole integers, after common ends are taken off.
+
+    With `most`, any number above it stands for a distance above it, and any up to it for one up to it.
+    """
+    lo, shorter = 0, min(len(a), len(b))
+    while lo < shorter and a[lo] == b[lo]:
         lo += 1
     hi = 0
-    while hi < most - lo and a[-1 - hi] == b[-1 - hi]:
+    while hi < shorter - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     if not a or not b:
         return len(a) + len(b)
+    if most is not None:
+        if max(len(a), len(b)) <= most:
+            return max(len(a), len(b))
+        if len(a) == len(b) and (changed := sum(map(ne, a, b))) <= most:
+            return changed
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = full, 0, len(a)
-    for c in b:
+    limit = len(a) + len(b) if most is None else most
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
         eq = where.get(c, 0)
         diagonal = (((eq & up) + up) ^ up) | eq | down
         rise, fall = down | (full & ~(diagonal | up)), up & diagonal
         distance += bool(rise & top) - bool(fall & top)
+        if distance - left > limit:  # each column that is left takes one off at most
+            return distance - left
         rise, fall = (rise << 1) | 1, fall << 1
         up, down = (fall | ~((eq | down) | rise)) & full, rise & (eq | down) & full
     return distance
@@ -233,9 +258,8 @@ def edit_distance(a: str, b: str) -> int:
 
 def similar(a: str, b: str, percent: int = SIMILARITY_PERCENT) -> bool:
     """Whether the edit distance is small enough against the longer text."""
-    most = max(len(a), len(b))
-    room = (100 - percent) * most
-    return 100 * abs(len(a) - len(b)) <= room and 100 * edit_distance(a, b) <= room
+    room = (100 - percent) * max(len(a), len(b)) // 100
+    return abs(len(a) - len(b)) <= room and edit_distance(a, b, room) <= room
 
 
 def _line_rows(rows: DataFrame) -> DataFrame:
@@ -255,26 +279,74 @@ def _sketch_near(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     la, lb = (v & LENGTH for v in (x, y))
     most = np.maximum(la, lb).astype(np.int64)
     close = 100 * (most - np.minimum(la, lb).astype(np.int64)) <= (100 - percent) * most
-    few = np.bitwise_count((x ^ y) >> np.uint64(16)) <= SKETCH_BITS
-    return close & (few | (most < SEGMENTED))
+    differ = np.bitwise_count((x ^ y) >> np.uint64(16))
+    return close & ((differ <= np.where(most * percent <= LONG * 100, *SKETCH_BITS)) | (most < SKETCHED))
 
 
-def _near_keys(rows: DataFrame, percent: int) -> DataFrame:
-    """(key, id, sim): the keys of lines that share one with another line of a near sketch (in large key groups: with any)."""
+def _shared_keys(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, id, sim) of the lines of which another line has the key.
+
+    Blocks of lines send their keys by hash range; each range says to each block which are shared; the blocks' identifiers and
+    sketches, sent along once a line, then give the rows.
+    """
     buckets = bucket_count(rows.sparkSession)
 
     def pack(batches):
-        for batch in slices(batches):
+        from pyspark import TaskContext
+
+        part, serial = TaskContext.get().partitionId(), 0
+        for batch in slices(batches, TEXT_BYTES):
             ids, sketch, line, key = Lines(batch.column("text")).keys(percent)
-            bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            items = np.stack([key, ids.view(np.uint64)[line], sketch[line]], 1)[order]
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([items[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "items"])
+            for low in range(0, len(ids), BLOCK_LINES):
+                block, serial = part << 32 | serial, serial + 1
+                mine = (line >= low) & (line < low + BLOCK_LINES)
+                k, owner = key[mine], line[mine] - low
+                order = np.argsort(k)
+                k, owner = k[order], owner[order]
+                tag = (mix(k ^ ids.view(np.uint64)[owner + low]) >> np.uint64(48)).astype(np.uint16)
+                cuts = np.searchsorted((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+                names = ids[low : low + BLOCK_LINES].tobytes() + sketch[low : low + BLOCK_LINES].tobytes()
+                home = block % buckets
+                out = [(b, block, low40(k[lo:hi]), tag[lo:hi].tobytes(), owner[lo:hi].astype(np.uint16).tobytes(), names if b == home else None) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo or b == home]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "block", "hashes", "tags", "owners", "names"])
+
+    def share(table: pa.Table) -> pa.Table:
+        got = table.to_pydict()
+        size = [len(o) // 2 for o in got["owners"]]
+        h, tag, owner = from40(b"".join(got["hashes"])), np.frombuffer(b"".join(got["tags"]), np.uint16), np.frombuffer(b"".join(got["owners"]), np.uint16)
+        both = h << np.uint64(16) | tag
+        order = np.argsort(both)
+        both = both[order]
+        start = np.flatnonzero(np.append(True, both[1:] >> np.uint64(16) != both[:-1] >> np.uint64(16))[: len(both)])
+        stop = np.append(start[1:], len(both))
+        shared = np.zeros(len(both), bool)
+        shared[order] = np.repeat(both[start] != both[stop - 1], stop - start) if len(both) else False
+        out, at = [], 0
+        for n, bucket, block, names in zip(size, got["bucket"], got["block"], got["names"], strict=True):
+            mine = shared[at : at + n]
+            if mine.any() or names is not None:
+                out.append((block, bucket, low40(h[at : at + n][mine]), owner[at : at + n][mine].tobytes(), names))
+            at += n
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["block", "bucket", "hashes", "owners", "names"])
+
+    def name(table: pa.Table) -> pa.Table:
+        got = table.to_pydict()
+        names = np.frombuffer(next(x for x in got["names"] if x is not None), np.int64).reshape(2, -1)
+        own = np.frombuffer(b"".join(got["owners"]), np.uint16).astype(np.int64)
+        high = np.repeat(np.array(got["bucket"], np.uint64) << np.uint64(40), [len(o) // 2 for o in got["owners"]])
+        return pa.table({"key": (from40(b"".join(got["hashes"])) | high).view(np.int64), "id": names[0][own], "sim": names[1][own]})
+
+    packed = rows.select("text").mapInArrow(pack, "bucket int, block long, hashes binary, tags binary, owners binary, names binary")
+    shared = packed.groupBy("bucket").applyInArrow(share, "block long, bucket int, hashes binary, owners binary, names binary")
+    return shared.groupBy("block").applyInArrow(name, "key long, id long, sim long")
+
+
+def _near_keys(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, id, sim): the keys of lines that share one with another line of a near sketch (in large key groups: with any)."""
+    buckets = bucket_count(rows.sparkSession)
 
     def near(table: pa.Table) -> pa.Table:
-        item = np.frombuffer(b"".join(table.column("items").to_pylist()), np.uint64).reshape(-1, 3)
+        item = np.stack([np.asarray(table.column(c)).view(np.uint64) for c in ("key", "id", "sim")], 1)
         item = item[np.lexsort((item[:, 1], item[:, 0]))]
         item = item[np.append(True, (item[1:, :2] != item[:-1, :2]).any(1))[: len(item)]]
         key, _, sketch = (np.ascontiguousarray(c) for c in item.T)
@@ -293,8 +365,7 @@ def _near_keys(rows: DataFrame, percent: int) -> DataFrame:
         out = item[keep].view(np.int64)
         return pa.table({"key": out[:, 0], "id": out[:, 1], "sim": out[:, 2]})
 
-    packed = rows.select("text").mapInArrow(pack, "bucket int, items binary")
-    return packed.groupBy("bucket").applyInArrow(near, "key long, id long, sim long")
+    return _shared_keys(rows, percent).groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(near, "key long, id long, sim long")
 
 
 def _texts(rows: DataFrame, members: Membership) -> DataFrame:
@@ -315,54 +386,46 @@ def _room(percent: int) -> Column:
     """_sketch_near of the columns sa and sb."""
     la, lb = (F.col(c).bitwiseAND(int(LENGTH)) for c in ("sa", "sb"))
     most = F.greatest(la, lb)
-    few = F.bit_count(F.shiftrightunsigned(F.col("sa").bitwiseXOR(F.col("sb")), 16)) <= SKETCH_BITS
-    return (100 * (most - F.least(la, lb)) <= (100 - percent) * most) & (few | (most < SEGMENTED))
+    differ = F.bit_count(F.shiftrightunsigned(F.col("sa").bitwiseXOR(F.col("sb")), 16))
+    few = differ <= F.when(most * percent <= LONG * 100, SKETCH_BITS[0]).otherwise(SKETCH_BITS[1])
+    return (100 * (most - F.least(la, lb)) <= (100 - percent) * most) & (few | (most < SKETCHED))
 
 
-def _near(pairs: DataFrame, sims: DataFrame, percent: int) -> DataFrame:
-    """The pairs of which the sketches leave room for edit similarity."""
-    a, b = (sims.select(F.col("id").alias(c), F.col("sim").alias(f"s{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").where(_room(percent)).select("a", "b")
-
-
-def _cross(percent: int):
-    """cross for linkage: pairs of one key and two components of which the sketches leave room for edit similarity."""
-
-    def cross(keys: DataFrame) -> DataFrame:
-        a, b = (keys.select("key", F.col("id").alias(c), F.col("comp").alias(f"c{c}"), F.col("sim").alias(f"s{c}")) for c in "ab")
-        found = a.join(b, "key").where((F.col("ca") < F.col("cb")) & _room(percent))
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    return cross
+def _stars(keys: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the least item of each key and every other item of that key whose sketch is near, each pair once."""
+    least = keys.groupBy("key").agg(F.min(F.struct("id", "sim")).alias("least"), F.max("id").alias("most")).where("least.id < most")
+    least = least.select("key", F.col("least.id").alias("a"), F.col("least.sim").alias("sa"))
+    pairs = keys.select("key", F.col("id").alias("b"), F.col("sim").alias("sb")).join(least, "key")
+    return pairs.where(F.col("a") != F.col("b")).where(_room(percent)).select("a", "b").distinct()
 
 
 def _alike(payload: DataFrame, percent: int):
     """verify for linkage."""
 
     def check(batches):
-        for batch in batches:
+        for batch in slices(batches, TEXT_BYTES, "ta"):
             ok = pa.array([similar(a, b, percent) for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = _near(pairs, payload.select("id", "sim"), percent)
         a, b = (payload.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        return near.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
     return verify
 
 
 def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """(rid, lines): for each row that loses any, by the hash of its identifier and text, the numbers of those lines."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     every = materialize(_line_rows(rows), "lines")
     place = F.struct("doc", "rid", "line")
     distinct = materialize(every.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), "distinct-lines")
     keys = materialize(_near_keys(rows, percent), "line-keys")
-    payload = _texts(rows, Membership.of(keys, "id")).join(keys.select("id", "sim").distinct(), "id")
-    payload = materialize(payload, "line-texts")
+    payload = materialize(_texts(rows, Membership.of(keys, "id")).join(keys.select("id").distinct(), "id"), "line-texts")
+    near = lambda a, b: _sketch_near(a[:, 0].view(np.uint64), b[:, 0].view(np.uint64), percent)
     mixed = lambda roots: mixed_keys(labelled(keys, roots))
-    roots = linked(_near(star_pairs(keys), payload, percent), lambda r: _near(star_pairs(mixed(r)), payload, percent), mixed, _alike(payload, percent), _cross(percent))
+    roots = linked(_stars(keys, percent), None, mixed, _alike(payload, percent), lambda items: block_pairs(items, ["sim"], near))
     named = distinct.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").where("n > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "id"))
     stays = named.groupBy("root").agg(F.min("place").alias("stays"))

@@ -21,12 +21,6 @@ from .runtime import bucket_count, materialize
 TILE = 2048
 
 
-def star_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b): the least item of each key and every other item of that key, each pair once."""
-    least = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").drop("most")
-    return keys.join(least, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-
-
 def labelled(keys: DataFrame, roots: DataFrame) -> DataFrame:
     """The keys' items with their component so far."""
     named = roots.select(F.col("node").alias("id"), F.col("root").alias("comp"))
@@ -73,22 +67,23 @@ def block_pairs(items: DataFrame, info: list[str], near: Callable[[np.ndarray, n
     return dealt.groupBy(F.pmod("block", F.lit(buckets)).alias("bucket")).applyInArrow(compare, "a long, b long").distinct()
 
 
-def linked(first_pairs: DataFrame, open_pairs: Callable[[DataFrame], DataFrame], open_keys: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(first_pairs: DataFrame, open_pairs: Callable[[DataFrame], DataFrame] | None, open_keys: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of every item that is linked to another.
 
     first_pairs: (a, b) of the first round. open_pairs: from the components so far to the pairs of the second, over the keys
-    whose items lie in several. open_keys: from the components after that to such keys, in a form of the caller's. verify: keeps
+    whose items lie in several; None where the first round had all keys. open_keys: from the components after that to such keys, in a form of the caller's. verify: keeps
     the pairs (a, b) that are alike. cross: from those keys to pairs in two components, but for pairs that cannot be alike.
     """
     tried = materialize(first_pairs, "pairs")
     links = materialize(verify(tried), "links")
     roots = components(links)
-    again = materialize(open_pairs(roots).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = materialize(verify(again), "links")
-    tried = tried.unionByName(again)
-    if not found.isEmpty():
-        links = links.unionByName(found)
-        roots = components(links)
+    if open_pairs:
+        again = materialize(open_pairs(roots).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(verify(again), "links")
+        tried = tried.unionByName(again)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = components(links)
     mixed = materialize(open_keys(roots), "open-keys")
     last = materialize(verify(cross(mixed).join(tried, ["a", "b"], "left_anti")), "links")
     return roots if last.isEmpty() else components(links.unionByName(last))

@@ -3,9 +3,7 @@
 import collections
 import itertools
 
-import pyarrow as pa
-
-from revlattice.llm import line_dedup
+import numpy as np
 
 
 def tokens(text):
@@ -40,18 +38,40 @@ def jaccard(rows):
     return grouped(links, {i for i, _ in known})
 
 
+def normal(line):
+    """Words of letters and digits of a line, A-Z lower-cased and digits 0; without such words the line's own ink in marks."""
+    kept = "".join(c.lower() if "A" <= c <= "Z" else c if "a" <= c <= "z" or ord(c) > 127 else "0" if "0" <= c <= "9" else " " for c in line)
+    kept = " ".join(w for w in kept.split(" ") if w)
+    return kept or "\0" + line.strip(" \t\n\r\v\f")
+
+
+def levenshtein(a, b):
+    b = np.array([ord(c) for c in b])
+    place = np.arange(len(b) + 1)
+    row = place.copy()
+    for i, c in enumerate(a, 1):
+        step = np.minimum(row[1:] + 1, row[:-1] + (b != ord(c)))
+        row = np.minimum.accumulate(np.append(i, step) - place) + place
+    return int(row[-1])
+
+
+def alike(a, b):
+    """Edit similarity of 0.9 or more of two normalised lines."""
+    most = max(len(a), len(b))
+    return a[:1] != "\0" and b[:1] != "\0" and 10 * abs(len(a) - len(b)) <= most and 10 * levenshtein(a, b) <= most
+
+
 def deduped_lines(rows):
     """Of rows (doc_id, text, ..) the (text, number of lines lost), by all pairs of distinct normalised lines."""
-    lines = line_dedup.Lines(pa.array([t for _, t, *_ in rows], pa.string()))
-    ids, sims = lines.prints()
-    text = {int(i): lines.text(n) for i, n in zip(ids, lines.counts, strict=True)}
-    sim = {int(i): int(s) & (2**64 - 1) for i, s in zip(ids, sims, strict=True)}
-    links = [(a, b) for a, b in itertools.combinations(text, 2) if (sim[a] ^ sim[b]).bit_count() <= 3 and line_dedup.similar(text[a], text[b])]
-    root, groups = grouped(links, text), collections.defaultdict(set)
-    for i, n in zip(ids.tolist(), lines.counts, strict=True):
-        doc = rows[lines.row[n]]
-        groups[root[i]].add(((-1 if doc[0] is None else doc[0]), doc[1], int(lines.number[n])))
-    drop = collections.defaultdict(set)
+    occurs = collections.defaultdict(set)
+    for i, t, *_ in rows:
+        for n, line in enumerate((t or "").split("\n")):
+            if line.strip(" \t\r\v\f"):
+                occurs[normal(line)].add(((-1 if i is None else i), t, n))
+    links = [(a, b) for a, b in itertools.combinations(occurs, 2) if alike(a, b)]
+    groups, drop = collections.defaultdict(set), collections.defaultdict(set)
+    for line, root in grouped(links, occurs).items():
+        groups[root] |= occurs[line]
     for g in groups.values():
         first = min(g, key=lambda o: (o[0], o[2]))
         for o in g - {first}:
