@@ -390,7 +390,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         lists = over_all(roots, _open_lists, "key long, members binary").dropDuplicates(["key"])
         return _listed(lists).join(labelled(info, roots), "id")
 
-    roots = linked(first, lambda r: over_all(r, _open_stars, "a long, b long").distinct(), open_lists, _alike(sets, info, percent), lambda items: block_pairs(items, INFO, _near(percent)))
+    verify = _alike(sets, info, percent)
+    last = lambda items, tried: verify(block_pairs(items, INFO, _near(percent)).join(tried, ["a", "b"], "left_anti"))
+    roots = linked(first, lambda r: over_all(r, _open_stars, "a long, b long").distinct(), open_lists, verify, last)
     twice = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     if not twice.isEmpty():
         from .components import components

@@ -25,6 +25,7 @@ columns pass through.
 
 from __future__ import annotations
 
+import os
 from operator import ne
 
 import numpy as np
@@ -50,7 +51,7 @@ FACTORS = (mix(np.arange(1, max(BANDS * ROWS, WORD_BANDS * WORD_ROWS) + 1, dtype
 #: Windows hashed at once.
 CACHED = 1 << 15
 #: Lines whose SimHashes differ in more of their 48 bits aren't compared (where the longer one is short, and where it isn't); those of unlike lines differ in about 20 to 24.
-SKETCH_BITS = 20, 16
+SKETCH_BITS = 19, 15
 #: Lines of fewer characters have too few words for a SimHash to tell.
 SKETCHED = 60
 LENGTH = np.uint64(0xFFFF)
@@ -60,6 +61,8 @@ COMPARED = 512
 BLOCK_LINES = 65_000
 #: Bytes of text whose keys are made, or that are compared, at once.
 TEXT_BYTES = 4 << 20
+#: Longer texts are compared one pair at a time; of the others so many cells of an anti-diagonal at once.
+WIDE, CELLS = 4096, 1 << 18
 #: The bits of a byte in the bytes of an integer.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
 NORMAL = np.full(256, 0x20, np.uint8)
@@ -152,6 +155,15 @@ class Lines:
         votes = np.add.reduceat(votes, first_run, axis=0, dtype=np.int64)
         return np.packbits(2 * votes > size[:, None], axis=1).view("<u8").ravel()
 
+    def _packed(self, keep: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(data, begin, end): the bytes to keep of some spans of the normalised text."""
+        size = end - begin
+        before = np.cumsum(size) - size
+        at = np.repeat(begin - before, size) + np.arange(size.sum())
+        mine = keep[at]
+        place = np.append(0, np.cumsum(mine))
+        return self.normal[at[mine]], place[before], place[before + size]
+
     def keys(self, percent: int = SIMILARITY_PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, sketches, lines, keys): of different lines that can have a fuzzy partner, and for each key the place of its line."""
         none = np.zeros(0, np.int64)
@@ -161,15 +173,12 @@ class Lines:
         ids, pick = np.unique(self._ids(h, word, count), return_index=True)
         sketch = self._prints(h, word, count)[pick] << np.uint64(16)
         line, word, count = self.counts[self.worded][pick], word[pick], count[pick]
-        blank = SPACE[self.normal]
-        keep = ~blank
-        keep[1:] |= ~blank[:-1]
-        at = np.cumsum(keep) - keep
-        data = self.normal[keep]
-        begin = at[self.word_start[self.word_first[line]]]
-        end = at[self.word_end[self.word_stop[line] - 1] - 1] + 1
-        chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-        length = chars[end] - chars[begin]
+        keep = SPACE[self.normal]
+        np.logical_not(keep, out=keep)
+        keep[1:] |= keep[:-1]  # one blank after a word
+        chars = np.cumsum(keep & ((self.normal & 0xC0) != 0x80), dtype=np.int32)
+        begin, end = self.word_start[self.word_first[line]], self.word_end[self.word_stop[line] - 1]
+        length = (chars[end - 1] - chars[begin] + 1).astype(np.int64)
         use = length >= 100 // max(1, 100 - percent)  # shorter ones are like none but themselves
         ids, sketch, word, count, begin, end, length = (x[use] for x in (ids, sketch, word, count, begin, end, length))
         sketch |= np.minimum(length, int(LENGTH)).astype(np.uint64)
@@ -177,9 +186,10 @@ class Lines:
         place, keys = [], []
         windows = np.flatnonzero((length >= SEGMENTED * percent // 100) & ((length <= LONG * 100 // percent) | (count < MANY_WORDS)))
         if len(windows):
+            data, first, last = self._packed(keep, begin[windows], end[windows])
             eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
             hashes = (mix(eight & np.uint64((1 << 8 * GRAM) - 1)) >> np.uint64(32)).astype(np.uint32)
-            keys += (found := _banded(hashes, begin[windows], (end - begin)[windows] - GRAM + 1, BANDS, ROWS, 0))
+            keys += (found := _banded(hashes, first, last - first - GRAM + 1, BANDS, ROWS, 0))
             place += [windows] * len(found)
         runs = np.flatnonzero((length >= LONG) & (count >= FEW_WORDS))
         if len(runs):
@@ -190,7 +200,8 @@ class Lines:
             keys += (found := _banded(hashes, word[runs], count[runs] - WORD_RUN + 1, WORD_BANDS, WORD_ROWS, BANDS))
             place += [runs] * len(found)
         near = np.flatnonzero(length < SEGMENTED)
-        for i, k in zip(near.tolist(), [segment_keys(data[begin[i] : end[i]].tobytes().decode(), percent) for i in near.tolist()], strict=True):
+        data, first, last = self._packed(keep, begin[near], end[near])
+        for i, k in zip(near.tolist(), [segment_keys(data[a:b].tobytes().decode(), percent) for a, b in zip(first, last, strict=True)], strict=True):
             place.append(np.full(len(k), i))
             keys.append(np.array(k, np.uint64))
         return ids, sketch, np.concatenate(place or [none]), np.concatenate(keys or [none.view(np.uint64)])
@@ -258,8 +269,101 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
 
 def similar(a: str, b: str, percent: int = SIMILARITY_PERCENT) -> bool:
     """Whether the edit distance is small enough against the longer text."""
-    room = (100 - percent) * max(len(a), len(b)) // 100
-    return abs(len(a) - len(b)) <= room and edit_distance(a, b, room) <= room
+    return bool(all_similar([a], [b], percent)[0])
+
+
+def _matrix(texts: list[str], width: int, kind: str) -> np.ndarray:
+    """Texts as rows of code points or bytes."""
+    code = "ascii" if kind == "u1" else "utf-32-le"
+    flat = np.frombuffer("".join(texts).encode(code), kind)
+    size = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), width), kind)
+    out[np.arange(width) < size[:, None]] = flat
+    return out
+
+
+def _within(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
+    """Of pairs of texts, the longer first, whether each one's edit distance is at most its room: anti-diagonals of all pairs at once, in a band of the largest room."""
+    la, lb = (np.array([len(p[i]) for p in pairs]) for i in (0, 1))
+    kind = "u1" if all(x.isascii() and y.isascii() for x, y in pairs) else "<u4"
+    a = np.ascontiguousarray(_matrix([p[0] for p in pairs], int(la.max()), kind).T)
+    b = np.ascontiguousarray(_matrix([p[1] for p in pairs], int(lb.max()), kind)[:, ::-1].T)
+    n, m = len(a), len(b)
+    # A path within the room strays from the diagonals between both ends by half of what the lengths' difference leaves.
+    stray = (room - (la - lb)) // 2
+    low, high = -int(stray.max()), int((stray + la - lb).max())
+    far, alive, out = np.int16(32000), np.arange(len(pairs)), np.zeros(len(pairs), bool)
+    # Cell i of an anti-diagonal d is the distance of a[:i] and b[:d - i], and row i + 1 of the arrays; a pair is a column.
+    two = np.full((n + 2, len(pairs)), far)
+    one = two.copy()
+    two[1] = 0
+    one[1:3] = 1
+    for d in range(1, n + m + 1):
+        lo, hi = max(0, d - m, (d + low + 1) // 2), min(n, d, (d + high) // 2)
+        if d > 1:
+            step = two[lo : hi + 1].copy()  # from a[:i - 1], b[:d - i - 1]
+            first, last = max(lo, 1), min(hi, d - 1)  # where both texts have a last character
+            if last >= first:
+                at = m - (d - first)
+                step[first - lo : last - lo + 1] += (a[first - 1 : last] != b[at : at + last - first + 1]).astype(np.int16)
+            near = np.minimum(one[lo : hi + 1], one[lo + 1 : hi + 2])
+            near += 1
+            np.minimum(step, near, out=two[lo + 1 : hi + 2])
+            if lo == 0:
+                two[1] = d
+            if hi == d:
+                two[d + 1] = d
+            two[lo] = far
+            if hi + 2 < n + 2:
+                two[hi + 2] = far
+            two, one = one, two
+        ends = la[alive] + lb[alive] == d
+        if ends.any():
+            out[alive[ends]] = one[la[alive[ends]] + 1, np.flatnonzero(ends)] <= room[alive[ends]]
+        if d % 32 == 0 or ends.any() and d >= n + m - 32:
+            least = np.minimum(one[lo + 1 : hi + 2].min(0), two[lo : hi + 2].min(0))
+            stays = (la[alive] + lb[alive] > d) & (least <= room[alive])
+            if not stays.any():
+                break
+            if stays.sum() < 0.8 * len(stays):
+                alive, a, b, one, two = alive[stays], a[:, stays], b[:, stays], one[:, stays], two[:, stays]
+    return out
+
+
+def all_similar(left: list[str], right: list[str], percent: int = SIMILARITY_PERCENT) -> np.ndarray:
+    """similar() of each pair of texts: those that one changed place or changed letters explain at once, most others many at a time."""
+    out, open_, rooms, at = np.zeros(len(left), bool), [], [], []
+    for i, (a, b) in enumerate(zip(left, right, strict=True)):
+        room = (100 - percent) * max(len(a), len(b)) // 100
+        if abs(len(a) - len(b)) > room:
+            continue
+        if len(a) < len(b):
+            a, b = b, a
+        if len(a) > WIDE:
+            out[i] = edit_distance(a, b, room) <= room
+            continue
+        x = os.path.commonprefix((a, b))
+        a, b = a[len(x) :], b[len(x) :]
+        hi = 0
+        while hi < len(b) and a[-1 - hi] == b[-1 - hi]:
+            hi += 1
+        a, b = a[: len(a) - hi], b[: len(b) - hi]
+        if len(a) <= room or len(a) == len(b) and sum(map(ne, a, b)) <= room:
+            out[i] = True
+        elif b:  # what is left of the longer text alone is over the room
+            open_.append((a, b))
+            rooms.append(room)
+            at.append(i)
+    order = sorted(range(len(open_)), key=lambda i: (rooms[i].bit_length(), len(open_[i][0])))
+    start = 0
+    while start < len(order):
+        stop = start + 1
+        while stop < len(order) and (stop - start + 1) * len(open_[order[stop]][0]) <= CELLS:
+            stop += 1
+        some = order[start:stop]
+        out[[at[i] for i in some]] = _within([open_[i] for i in some], np.array([rooms[i] for i in some]))
+        start = stop
+    return out
 
 
 def _line_rows(rows: DataFrame) -> DataFrame:
@@ -404,7 +508,7 @@ def _alike(payload: DataFrame, percent: int):
 
     def check(batches):
         for batch in slices(batches, TEXT_BYTES, "ta"):
-            ok = pa.array([similar(a, b, percent) for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)], pa.bool_())
+            ok = pa.array(all_similar(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -422,10 +526,13 @@ def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct("doc", "rid", "line")
     distinct = materialize(every.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), "distinct-lines")
     keys = materialize(_near_keys(rows, percent), "line-keys")
-    payload = materialize(_texts(rows, Membership.of(keys, "id")).join(keys.select("id").distinct(), "id"), "line-texts")
+    of_line = keys.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    payload = materialize(_texts(rows, Membership.of(keys, "id")).join(of_line, "id"), "line-texts")
     near = lambda a, b: _sketch_near(a[:, 0].view(np.uint64), b[:, 0].view(np.uint64), percent)
     mixed = lambda roots: mixed_keys(labelled(keys, roots))
-    roots = linked(_stars(keys, percent), None, mixed, _alike(payload, percent), lambda items: block_pairs(items, ["sim"], near))
+    alike = lambda a, b: all_similar(a, b, percent)
+    last = lambda items, _: block_pairs(items.join(payload, "id"), ["sim"], near, alike, "text", "keys")
+    roots = linked(_stars(keys, percent), None, mixed, _alike(payload, percent), last)
     named = distinct.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").where("n > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "id"))
     stays = named.groupBy("root").agg(F.min("place").alias("stays"))
