@@ -6,8 +6,8 @@ larger run tells which digests of the smaller need a search in it. An entry keep
 the number of rows. Rows whose digest hits an entry of several rows are verified byte for byte against the row that stays.
 
 Defined results: a null text counts as empty; a null identifier is below all others and stays only if all of its group are
-null; repeated identifiers count as separate rows, and every row of the staying identifier is marked kept, so that rows of
-equal identifier and text, or equal texts that all have a null identifier, all stay; an empty table gives an empty result.
+null; repeated identifiers count as separate rows, of which exactly one is marked kept, also where all identifiers of a text
+are null; an empty table gives an empty result.
 Columns other than the identifier and the text are not read.
 """
 
@@ -191,7 +191,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not checked.where(~F.col("same")).isEmpty():
         checked = _regrouped(copies, checked, keep_largest)
     alone = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    return alone.unionByName(checked.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"))
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    checked = checked.withColumn("kept", stays)
+    # Of several rows with the identifier that stays, one is kept: equal in identifier and text, they differ by place alone.
+    place = ["digest", "keep_id", "variant"]
+    several = materialize(checked.where(stays).groupBy(*place).agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "dedup-repeated")
+    if not several.isEmpty():
+        same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in place]
+        checked = checked.alias("x").join(several.alias("y"), same[0] & same[1] & same[2], "left").withColumn("kept", F.col("kept") & (F.col("least").isNull() | (F.col("least") == F.col("place"))))
+        checked = checked.select("id", F.col("x.keep_id").alias("keep_id"), "group_size", "kept", F.col("x.digest").alias("digest"))
+    return alone.unionByName(checked.select("id", "keep_id", "group_size", "kept", "digest"))
 
 
 def _verified(copies: DataFrame, unit: int) -> DataFrame:
@@ -200,7 +209,7 @@ def _verified(copies: DataFrame, unit: int) -> DataFrame:
     stay = copies.where(F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"])
     stay = stay.select("digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("text").alias("stays"))
     dealt = copies.withColumn("salt", F.pmod(F.hash("id"), salts))
-    return dealt.join(stay, ["digest", "salt"]).select("id", "digest", "keep_id", "group_size", (F.col("text") == F.col("stays")).alias("same"))
+    return dealt.join(stay, ["digest", "salt"]).select("id", "digest", "keep_id", "group_size", (F.col("text") == F.col("stays")).alias("same"), F.monotonically_increasing_id().alias("place"), F.lit(0).cast("long").alias("variant"))
 
 
 def _regrouped(copies: DataFrame, checked: DataFrame, keep_largest: bool) -> DataFrame:
@@ -210,5 +219,6 @@ def _regrouped(copies: DataFrame, checked: DataFrame, keep_largest: bool) -> Dat
     again = copies.join(clash, "digest", "left_semi")
     pick = agg("id") if keep_largest else F.when(F.count("id") == F.count(F.lit(1)), agg("id"))
     groups = again.groupBy("digest", "text").agg(pick.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    again = again.select("id", "digest", "text").join(groups, ["digest", "text"]).drop("text")
+    again = again.select("id", "digest", "text").join(groups, ["digest", "text"])
+    again = materialize(again.select("id", "digest", "keep_id", "group_size", F.monotonically_increasing_id().alias("place"), F.xxhash64("text").alias("variant")), "dedup-regrouped")
     return checked.join(clash, "digest", "left_anti").drop("same").unionByName(again)
