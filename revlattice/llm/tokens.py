@@ -3,7 +3,8 @@
 Texts are cut where byte-level and word-level pre-tokenizers start a new token whatever stands before: before a space that
 a byte of ordinary text follows, between an ASCII letter and a stop, and around a single line feed between such bytes. The
 ids of the pieces, one after another, are the ids of the text. Pieces repeat often: a worker keeps the ids of those it has
-met, up to a fixed number. Pieces are known by hashes of 64 bits.
+met, up to a fixed number. Pieces are known by hashes of 64 bits. A text that holds the string of an added token, which the
+tokenizer makes one id wherever it stands, is one piece.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-from .text import flat, span_hashes
+from .text import LOWER, flat, span_hashes
 
 #: Pieces whose ids a worker keeps; beyond that it starts anew.
 KEPT_PIECES = 1_000_000
@@ -65,7 +66,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -76,11 +77,23 @@ class Encoder:
     def vocab_size(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def _with_added(self, data: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
+        """The spans of rows that may hold an added token's string; such a string is one id wherever it stands, so these rows aren't cut."""
+        raw, found = None, set()
+        for token in self.added:
+            raw = LOWER[data].tobytes() if raw is None else raw
+            place = raw.find(token)
+            while place >= 0:
+                row = int(np.searchsorted(at, place, "right")) - 1
+                found.add((int(at[row]), int(at[row + 1])))
+                place = raw.find(token, max(place + 1, int(at[row + 1]) - len(token) + 1))
+        return found
+
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         pools, sizes = [self.pool], []
         for i in range(0, len(pieces), TOGETHER):
             part = pieces[i : i + TOGETHER]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)  # each as if it were a text
             pools.append(np.array(got.ids, np.uint32))
             sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
         size = np.concatenate(sizes)
@@ -94,6 +107,8 @@ class Encoder:
         """(ids, first): row i has ids[first[i]:first[i + 1]], with the id `end` last where given."""
         data, at = flat(column)
         cut = cuts(data)
+        for lo, hi in self._with_added(data, at):
+            cut[lo:hi] = False
         cut[at] = True
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(data))
