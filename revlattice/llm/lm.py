@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .runtime import bucket_count, materialize, shared_dir
+from .runtime import bounded_batches, bucket_count, materialize, shared_dir
 from .text import C1, C2, joined, mix, word_hashes
 
 HOLD_OUT = 7
@@ -153,6 +153,7 @@ def _runs(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     shards, folder = bucket_count(spark), shared_dir(spark, "lm")
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bounded_batches
 from .text import joined
 from .tokens import encoder as shared_encoder
 
@@ -94,6 +95,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc
 
     tokenizer: the path of a tokenizer file on every machine. end: the id that closes each document.
     """
+    bounded_batches(docs.sparkSession)
 
     def work(batches):
         from pyspark import TaskContext

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import bounded_batches, materialize
 from .text import C2, SPACE, flat, mix, slices, span_hashes, words
 
 #: Labelled rows that a fit uses at most (about: they are taken by a hash of the identifier).
+#: Bytes of text whose statistics are made at once: they take some 30 times that (a longer single text makes a slice of its own).
+STATISTICS_BYTES = 1 << 20
 SAMPLE_ROWS = 20_000
 HOLD_OUT = 5
 CUT = 0.3
@@ -178,19 +180,24 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, x) of each row."""
 
     def work(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, STATISTICS_BYTES):
             x = statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "x"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, x array<float>")
 
 
-def train(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """From labels (doc_id, quality) outside the hold-out, a sample of about sample_rows of them at most."""
+def sampled(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, y): the labels (doc_id, quality) outside the hold-out, a sample of about sample_rows of them at most."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
     total = known.count()
     if total > sample_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample_rows / total * (1 << 30)))
+    return known
+
+
+def train(stats: DataFrame, known: DataFrame) -> Trees:
+    """From the statistics of documents and a sample of labels."""
     rows = stats.join(known, "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(-1, len(NAMES)) if rows.num_rows else np.zeros((0, len(NAMES)), np.float32)
     return fit(x, np.asarray(rows.column("y")))
@@ -198,8 +205,9 @@ def train(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
+    bounded_batches(docs.sparkSession)
     stats = materialize(document_statistics(docs, id_col, text_col), "statistics")
-    model = docs.sparkSession.sparkContext.broadcast(train(stats, labels))
+    model = docs.sparkSession.sparkContext.broadcast(train(stats, sampled(labels)))
 
     def work(batches):
         for batch in batches:
@@ -211,12 +219,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that score at least `cut`."""
-    stats = materialize(document_statistics(docs, text_col=text_col), "statistics")
-    model = docs.sparkSession.sparkContext.broadcast(train(stats, labels))
+    """The rows of docs, with all their columns, that score at least `cut`; statistics are made of the sampled labelled rows, then of every row as it is scored."""
+    bounded_batches(docs.sparkSession)
+    known = materialize(sampled(labels), "sampled-labels")  # a bounded number of rows
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = docs.sparkSession.sparkContext.broadcast(train(document_statistics(asked), known))
 
     def work(batches):
-        for batch in slices(batches, column=text_col):
+        for batch in slices(batches, STATISTICS_BYTES, column=text_col):
             good = model.value.score(statistics(batch.column(text_col))) >= cut
             yield batch.filter(pa.array(good))
 

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bounded_batches
 from .text import flat, joined, span_hashes
 
 BLOCK_BYTES = 8 << 20
@@ -188,6 +189,7 @@ def automaton(path: str) -> Automaton:
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of each row. path: a sentencepiece file on every machine."""
+    bounded_batches(docs.sparkSession)
 
     def work(batches):
         for batch in joined(batches, BLOCK_BYTES):

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import materialize, shared_dir, shuffle_partitions
+from .runtime import bounded_batches, materialize, shared_dir, shuffle_partitions
 from .text import joined
 from .tokens import encoder as shared_encoder
 
@@ -139,6 +139,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, id_col: str = "
     tokenizer: the path of a tokenizer file on every machine. end: the id that closes each document. The manifest has one
     entry per partition of the shuffle.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "token-files")
 
