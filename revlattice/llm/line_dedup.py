@@ -51,7 +51,7 @@ FACTORS = (mix(np.arange(1, max(BANDS * ROWS, WORD_BANDS * WORD_ROWS) + 1, dtype
 #: Windows hashed at once.
 CACHED = 1 << 15
 #: Lines whose SimHashes differ in more of their 48 bits aren't compared (where the longer one is short, and where it isn't); those of unlike lines differ in about 20 to 24.
-SKETCH_BITS = 19, 15
+SKETCH_BITS = 19, 13
 #: Lines of fewer characters have too few words for a SimHash to tell.
 SKETCHED = 60
 LENGTH = np.uint64(0xFFFF)
@@ -63,6 +63,8 @@ BLOCK_LINES = 65_000
 TEXT_BYTES = 4 << 20
 #: Longer texts are compared one pair at a time; of the others so many cells of an anti-diagonal at once.
 WIDE, CELLS = 4096, 1 << 18
+#: Distances up to which a column's band fits the bits of an integer, pairs whose columns are made at once, and most symbols of theirs.
+NARROW, NARROW_PAIRS, SYMBOLS = 60, 512, 128
 #: The bits of a byte in the bytes of an integer.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
 NORMAL = np.full(256, 0x20, np.uint8)
@@ -330,6 +332,59 @@ def _within(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
     return out
 
 
+def _narrow(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
+    """As _within, for rooms of at most NARROW: a band of 64 rows of a column is the bits of one integer, of all pairs at once."""
+    la, lb = (np.array([len(p[i]) for p in pairs]) for i in (0, 1))
+    points = np.frombuffer("".join(p[i] for i in (0, 1) for p in pairs).encode("utf-32-le"), "<u4").astype(np.int64)
+    number = np.zeros(int(points.max()) + 1, np.int64)
+    number[points] = 1
+    symbols = np.flatnonzero(number)
+    if len(symbols) > SYMBOLS:
+        return _within(pairs, room)
+    number[symbols] = np.arange(len(symbols))
+    codes = number[points]
+    high = (room + la - lb) // 2  # the band's topmost bit is the row this far below the column's number
+    # For each symbol the places of the longer texts that hold it, a bit each, so far on that a column's band begins at the column's number.
+    row = np.repeat(np.arange(len(pairs)), la)
+    place = np.arange(la.sum()) - (np.cumsum(la) - la)[row] + 63 - high[row]
+    held = np.zeros((max(int(place.max()), int(lb.max()) + 64) // 64 + 2, len(symbols), len(pairs)), np.uint64)
+    np.bitwise_or.at(held.reshape(-1), ((place >> 6) * len(symbols) + codes[: len(row)]) * len(pairs) + row, np.uint64(1) << (place & 63).astype(np.uint64))
+    b = np.zeros((int(lb.max()), len(pairs)), np.int64)
+    row = np.repeat(np.arange(len(pairs)), lb)
+    b[np.arange(lb.sum()) - (np.cumsum(lb) - lb)[row], row] = codes[la.sum() :]
+    one, last = np.uint64(1), np.uint64(63)
+    up, down = ~np.uint64(0) << (last - high.astype(np.uint64)), np.zeros(len(pairs), np.uint64)
+    score, alive, out, bend = high.copy(), np.arange(len(pairs)), np.zeros(len(pairs), bool), la - high
+    bends, spare = int(bend.min()), lb - bend  # columns after the bend, each of which takes one off at most
+    for i in range(int(lb.max())):
+        at = b[i], np.arange(len(lb))
+        same = held[i >> 6][at] >> np.uint64(i & 63)
+        if i & 63:
+            same |= held[(i >> 6) + 1][at] << np.uint64(64 - (i & 63))
+        diagonal = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | ~(diagonal | up), diagonal & up
+        step = (~diagonal >> last).astype(np.int64)
+        if i >= bends:
+            bit = np.clip(62 - (i - bend), 0, 62).astype(np.uint64)
+            step = np.where(i < bend, step, ((rise >> bit) & one).astype(np.int64) - ((fall >> bit) & one).astype(np.int64))
+        score += step
+        diagonal >>= one
+        up, down = fall | ~(diagonal | rise), diagonal & rise
+        ends = lb == i + 1
+        done = ends.any()
+        if done:
+            out[alive[ends]] = score[ends] <= room[ends]
+        if done or i % 16 == 15:
+            stays = (lb > i + 1) & (score - np.where(i < bend, spare, lb - i - 1) <= room)
+            kept = int(stays.sum())
+            if not kept:
+                break
+            if kept < 0.8 * len(stays):
+                held, b, up, down, score, alive, bend, spare, room, lb = held[:, :, stays], b[:, stays], up[stays], down[stays], score[stays], alive[stays], bend[stays], spare[stays], room[stays], lb[stays]
+                bends = int(bend.min())
+    return out
+
+
 def all_similar(left: list[str], right: list[str], percent: int = SIMILARITY_PERCENT) -> np.ndarray:
     """similar() of each pair of texts: those that one changed place or changed letters explain at once, most others many at a time."""
     out, open_, rooms, at = np.zeros(len(left), bool), [], [], []
@@ -354,14 +409,15 @@ def all_similar(left: list[str], right: list[str], percent: int = SIMILARITY_PER
             open_.append((a, b))
             rooms.append(room)
             at.append(i)
-    order = sorted(range(len(open_)), key=lambda i: (rooms[i].bit_length(), len(open_[i][0])))
+    order = sorted(range(len(open_)), key=lambda i: (rooms[i].bit_length() if rooms[i] > NARROW else 0, len(open_[i][1])))
     start = 0
     while start < len(order):
+        narrow = rooms[order[start]] <= NARROW
         stop = start + 1
-        while stop < len(order) and (stop - start + 1) * len(open_[order[stop]][0]) <= CELLS:
+        while stop < len(order) and (rooms[order[stop]] <= NARROW) == narrow and (stop - start < NARROW_PAIRS if narrow else (stop - start + 1) * len(open_[order[stop]][0]) <= CELLS):
             stop += 1
         some = order[start:stop]
-        out[[at[i] for i in some]] = _within([open_[i] for i in some], np.array([rooms[i] for i in some]))
+        out[[at[i] for i in some]] = (_narrow if narrow else _within)([open_[i] for i in some], np.array([rooms[i] for i in some]))
         start = stop
     return out
 
