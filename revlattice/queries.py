@@ -265,3 +265,48 @@ def revset_generations(g):
 @_query(_with("SELECT rev FROM commits WHERE rev NOT IN (SELECT rev FROM d) AND description LIKE '%LOW F%'", _set("d", _values(6), up=True)))
 def revset_description_difference(g):
     return g.query('description(substring:"LOW F") ~ 6::')
+
+
+@_query(_with("SELECT rev FROM revs WHERE false"))
+def revset_none(g):
+    return g.query("none()")
+
+
+@_query(_with("SELECT rev FROM revs WHERE rev NOT IN (SELECT rev FROM d)", _set("d", _values(3), up=True)))
+def revset_complement(g):
+    return g.query("~(3::)")
+
+
+@_query(_with("SELECT DISTINCT child AS rev FROM edges WHERE parent IN (40, 41)"))
+def revset_next(g):
+    return g.query("(40 | 41)+")
+
+
+@_query(_with("SELECT DISTINCT child AS rev FROM edges WHERE parent BETWEEN 200 AND 202"))
+def revset_children(g):
+    return g.query("children(200 | 201 | 202)")
+
+
+@_query(_with("SELECT DISTINCT rev FROM s WHERE n BETWEEN 2 AND 3", _steps("s", _values(9), 3, up=True)))
+def revset_up(g):
+    return g.query("up(9, 2, 3)")
+
+
+@_query(_with("SELECT DISTINCT rev FROM s WHERE n BETWEEN 1 AND 4", _steps("s", _values(1300, 1301), 4)))
+def revset_down(g):
+    return g.query("down(1300 | 1301, 1, 4)")
+
+
+@_query(_with("SELECT rev FROM commits WHERE contains(author_name, '00000012')"))
+def revset_author_name(g):
+    return g.query('author_name("00000012")')
+
+
+@_query(_with("SELECT rev FROM commits WHERE contains(lower(author_email), '7@example')"))
+def revset_author_email(g):
+    return g.query('author_email(substring-i:"7@EXAMPLE")')
+
+
+@_query(_with("SELECT rev FROM commits WHERE description = '2-HIGH O'"))
+def revset_description_exact(g):
+    return g.query('description(exact:"2-HIGH O")')
