@@ -278,3 +278,40 @@ def test_targets():
     assert got["a"] == 30 and abs(sum(got.values()) - 1100) < 1e-6 and got["c"] == 270 and got["b"] == 800
     assert source_order(["b", None, "a", "Z"]) == ["Z", "a", "b", None]
     assert capped_targets({}, {}) == {}
+
+
+def test_similar_of_many_pairs():
+    r = random.Random(1)
+    for _ in range(25):
+        left, right = [], []
+        for _ in range(r.randint(1, 40)):
+            letters = r.choice(["ab", "abcdefgh \u00e9\u65e5"])
+            a = [r.choice(letters) for _ in range(r.randint(1, r.choice([1, 12, 60, 140])))]
+            b = list(a)
+            for _ in range(r.randint(0, max(1, len(a) // r.choice([4, 8, 12])))):
+                i = r.randrange(len(b) + 1)
+                b[i : i + r.randint(0, 1)] = r.choice(["", letters[0], letters[-1]])
+            left.append("".join(a))
+            right.append("".join(b))
+        for percent in (90, 70):
+            want = [100 * levenshtein(a, b) <= (100 - percent) * max(len(a), len(b)) for a, b in zip(left, right, strict=True)]
+            assert line_dedup.all_similar(left, right, percent).tolist() == want
+    for room in (0, 3, 70):  # the wide form too
+        pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in zip(left, right, strict=True) if a and b and abs(len(a) - len(b)) <= room]
+        assert line_dedup._within(pairs, np.full(len(pairs), room)).tolist() == [levenshtein(a, b) <= room for a, b in pairs]
+
+
+@pytest.mark.parametrize("common", [8, 300, 3000])
+def test_sketches_refuse_no_alike_sets(common):
+    r = np.random.default_rng(common)
+    near = jaccard._near(75)
+
+    def judged(extra, cut):
+        both = r.integers(0, 2**63, common, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, r.integers(0, 2**63, k, dtype=np.uint64)])) for k in (cut, extra - cut))
+        sketch = np.stack(jaccard._sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.arange(2)), 1)
+        rows = np.concatenate([[[len(a)], [len(b)]], sketch], 1)
+        return bool(near(rows[:1], rows[1:])[0])
+
+    assert all(judged(common // 3, int(r.integers(0, common // 3 + 1))) for _ in range(40))
+    assert not any(judged(3 * common, 3 * common // 2) for _ in range(40))
