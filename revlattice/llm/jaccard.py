@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linkage import block_pairs, labelled, linked
+from .linkage import TILE, block_pairs, labelled, linked
 from .membership import Membership, kept
 from .membership import members as may_be
 from .runtime import bounded_batches, bucket_count, materialize
@@ -305,34 +305,31 @@ def _open_stars(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray):
     return pairs[:, 0], pairs[:, 1]
 
 
-def _open_lists(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray):
-    """(key, members): of signatures whose items lie in several components the items; key is a hash of them, and each list comes once."""
+def _open_unions(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray):
+    """(key, members): the items of signatures whose items lie in several components; key is the least hash of such an item, and the items of all signatures of one key are a union."""
     start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
     if not len(start):
         return np.zeros(0, np.int64), pa.array([], pa.binary())
-    # A set may have a signature more than once.
-    new = np.append(True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1]))
-    sig, ids, comp = sig[new], ids[new], comp[new]
-    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    mixed = np.flatnonzero(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start))
-    stop = np.append(start[1:], len(sig))
-    name = mix(np.add.reduceat(mix(ids.view(np.uint64) ^ C2), start) + (stop - start).astype(np.uint64) * C1).view(np.int64)[mixed]
-    name, pick = np.unique(name, return_index=True)
-    data = ids.tobytes()
-    return name, pa.array([data[8 * start[i] : 8 * stop[i]] for i in mixed[pick]], pa.binary())
+    mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+    size = np.diff(np.append(start, len(sig)))
+    use = np.repeat(mixed, size)
+    key = np.repeat(np.minimum.reduceat(mix(ids.view(np.uint64) ^ C3), start), size)[use].view(np.int64)
+    rows = np.unique(np.stack([key, ids[use]], 1), axis=0)
+    start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])[: len(rows)])
+    stop, data = np.append(start[1:], len(rows)).astype(np.int64), rows[:, 1].tobytes()
+    return rows[start, 0], pa.array([data[8 * i : 8 * j] for i, j in zip(start.tolist(), stop.tolist(), strict=False)], pa.binary())
 
 
 def _listed(lists: DataFrame) -> DataFrame:
-    """(key, id, n_rows): the members of lists."""
+    """(key, id): the members of lists."""
 
     def spread(batches):
         for batch in slices(batches, SET_BYTES, "members"):
             blobs = batch.column("members").to_pylist()
-            size = np.array([len(b) // 8 for b in blobs], np.int64)
-            key = np.repeat(np.asarray(batch.column("key")), size)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(np.repeat(size, size))], names=["key", "id", "n_rows"])
+            key = np.repeat(np.asarray(batch.column("key")), [len(b) // 8 for b in blobs])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.frombuffer(b"".join(blobs), np.int64))], names=["key", "id"])
 
-    return lists.mapInArrow(spread, "key long, id long, n_rows long")
+    return lists.mapInArrow(spread, "key long, id long")
 
 
 def _can_be(percent: int):
@@ -412,13 +409,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def over_all(roots: DataFrame, emit, schema: str) -> DataFrame:
         return _signature_groups(labelled(sets.select("id", "shingles"), roots), percent, None, emit, schema)
 
-    def open_lists(roots: DataFrame) -> DataFrame:
-        lists = over_all(roots, _open_lists, "key long, members binary").dropDuplicates(["key"])
-        return _listed(lists).join(labelled(info, roots), "id")
+    def open_items(roots: DataFrame) -> DataFrame:
+        items = materialize(_listed(over_all(roots, _open_unions, "key long, members binary")).distinct(), "open-items")
+        tiled = items.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > TILE)
+        keys = items.groupBy("id").agg(F.collect_list("key").alias("keys"))
+        return items.join(tiled, "key", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(1))).join(labelled(info, roots).join(keys, "id"), "id")
 
     verify = _alike(sets, info, percent)
-    last = lambda items, tried: verify(block_pairs(items, INFO, _near(percent)).join(tried, ["a", "b"], "left_anti"))
-    roots = linked(first, lambda r: over_all(r, _open_stars, "a long, b long").distinct(), open_lists, verify, last)
+    last = lambda items, tried: verify(block_pairs(items, INFO, _near(percent), keys="keys").join(tried, ["a", "b"], "left_anti"))
+    roots = linked(first, lambda r: over_all(r, _open_stars, "a long, b long").distinct(), open_items, verify, last)
     twice = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     if not twice.isEmpty():
         from .components import components

@@ -44,11 +44,12 @@ def block_pairs(
     mask. A task compares whole blocks, so that no row is made for a pair that near refuses. The items of a key of over TILE
     rows are dealt to tiles; each pair of tiles is a block of its own, wherever it lands.
 
-    With alike (a mask from two lists of the column `payload`) the pairs are verified there too, each only under the least of
-    the keys that both items have (column `keys`), and not once links of the block have made the two components one.
+    With keys (a column of all keys of an item) a pair is looked at only under the least key that both items have. With alike
+    (a mask from two lists of the column `payload`) the pairs are verified there too, and not once links of the block have
+    made the two components one.
     """
     buckets = bucket_count(items.sparkSession)
-    more = [payload, keys] if alike else []
+    more = [c for c in (payload, keys) if c]
     tiles = F.ceil(F.col("n_rows") / TILE).cast("int")
     own = F.pmod(F.xxhash64("id"), tiles).cast("int").alias("own")
     dealt = items.select("key", "id", "comp", *info, *more, own, F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
@@ -61,7 +62,7 @@ def block_pairs(
         block, key, ids, comp, own, alone = (x[order] for x in (block, key, ids, comp, own, alone))
         rest = np.stack([c[order] for c in rest], 1) if rest else np.zeros((len(ids), 0), np.int64)
         held = table.column(payload).take(pa.array(order)).to_pylist() if alike else None
-        named = [frozenset(k) for k in table.column(keys).take(pa.array(order)).to_pylist()] if alike else None
+        named = [frozenset(k) for k in table.column(keys).take(pa.array(order)).to_pylist()] if keys else None
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -89,7 +90,7 @@ def block_pairs(
             left = left[block[left + shift] == block[left]]
             i = left[(comp[left] != comp[left + shift]) & ((own[left] != own[left + shift]) | (alone[left] == 1))]
             i = i[near(rest[i], rest[i + shift])] if len(i) else i
-            if alike and len(i):
+            if keys and len(i):
                 i = i[np.array([min(named[x] & named[x + shift]) == key[x] for x in i])]
             if len(i):
                 wait.append((i, i + shift))
