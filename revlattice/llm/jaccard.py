@@ -13,7 +13,9 @@ so a set with more than a quarter of such shingles has no partner; they are coun
 blocks packed by hash range. Pairs of one signature are looked at through parity sketches, of which the bits that differ are
 never more than the shingles that differ, and, since these tell nothing of large sets, through a bit of each of 256 minima,
 with a margin that one in 10^11 pairs of the threshold exceeds (alike pairs above it far fewer). linkage.py leaves out pairs of one component; every link used is verified on whole
-sets. Bloom filters of fixed size pick the documents and sets that a step needs while they are read.
+sets. For the last round the items of all open signatures with one least-hashed item are a union, which holds every pair of
+these signatures, and a pair is looked at only in the union of the least key that both items have: once, however many
+signatures it shares. A set's unions are at most as many as its signatures. Bloom filters of fixed size pick the documents and sets that a step needs while they are read.
 
 Hashes of 64 bits stand for shingles and for sets; the count of shared shingles is exact up to their collisions.
 

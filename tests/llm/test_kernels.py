@@ -315,3 +315,28 @@ def test_sketches_refuse_no_alike_sets(common):
 
     assert all(judged(common // 3, int(r.integers(0, common // 3 + 1))) for _ in range(40))
     assert not any(judged(3 * common, 3 * common // 2) for _ in range(40))
+
+
+def test_unions_hold_all_pairs_of_open_signatures():
+    rng = np.random.default_rng(5)
+    sig, ids = rng.integers(0, 60, 900).astype(np.uint64), rng.integers(-40, 40, 900)
+    order = np.lexsort((ids, sig))
+    sig, ids = sig[order], ids[order]
+    comp = ids // 4
+    wanted = set()
+    for s in np.unique(sig):
+        members = sorted({int(i) for i in ids[sig == s]})
+        if len({i // 4 for i in members}) > 1:
+            wanted |= {(a, b) for a in members for b in members if a < b}
+    keys, lists = jaccard._open_unions(sig, ids, comp)
+    members = [np.frombuffer(x, np.int64).tolist() for x in lists.to_pylist()]
+    assert len(set(keys.tolist())) == len(keys) == len(members) and all(len(set(m)) == len(m) for m in members)
+    assert wanted <= {(a, b) for m in members for a in m for b in m if a < b}
+    assert {i for m in members for i in m} == {i for pair in wanted for i in pair}
+
+
+def test_unions_of_no_open_signature():
+    none = np.zeros(0, np.int64)
+    for sig, ids, comp in ((none.astype(np.uint64), none, none), (np.zeros(3, np.uint64), np.arange(3), np.zeros(3, np.int64))):
+        keys, lists = jaccard._open_unions(sig, ids, comp)
+        assert len(keys) == len(lists) == 0
