@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir (a temporary folder only where that is unset, as in tests)."""
+    """A new folder's URI below spark.checkpoint.dir (a temporary folder where that is unset in local mode, as in tests; elsewhere that is refused)."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(shared_dir, "local", None)
         if root is None:
             root = shared_dir.local = "file://" + tempfile.mkdtemp(prefix="llm-")
