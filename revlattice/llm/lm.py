@@ -1,17 +1,19 @@
-"""Language-model scores of documents from a bigram model of the corpus in Elias-Fano tries.
+"""Language-model scores of documents from an n-gram model of the corpus in Elias-Fano tries.
 
 The model: p1(w) is the share of w among the training tokens, less a mass for unknown words as large as the share of tokens
-that occur once (Good-Turing); p2(w | h) = max(c(h, w) - D, 0) / c(h) + D * n(h) / c(h) * p1(w), where n(h) is the number of
-different words after h: absolute discounting, interpolated. After an unknown word, p1. The two parts of p2 that depend on
-h are what a trie holds, as quantised logarithms: an entry's discounted probability and a context's backoff.
+that occur once (Good-Turing); for a context h of k - 1 tokens pk(w | h) = max(c(h, w) - D, 0) / c(h) + D * n(h) / c(h) *
+p(w | h without its first token), where n(h) is the number of different words after h: absolute discounting, interpolated,
+from k = 2 to the order. After a context that has not been trained on, the next shorter one. The two parts of pk that depend
+on h are what a trie holds, as quantised logarithms: an entry's discounted probability and a context's backoff.
 
-No machine holds the model. Documents are packed into blocks, whose words and bigrams, each once with its training count,
-go to shards by hash. A word shard sums counts and answers them. A bigram shard, which has all words after its contexts,
-sums counts, writes its trie to the shared folder, maps it into memory and answers with codes. Contexts with more than a
-fixed share of all tokens, of which there can only be a bounded number, are spread over all shards by the bigram. The blocks
-then add up their documents' scores from the answers.
+No machine holds the model. Documents are packed into blocks, whose words and n-grams, each once with its training count,
+go to shards by hash, one level after the other. A word shard sums counts and answers them. A shard of a level, which has all
+words after its contexts, sums counts, writes its trie to the shared folder, maps it into memory and answers with codes.
+Contexts with more than a fixed share of all tokens, of which there can only be a bounded number a level, are spread over
+all shards by the n-gram; each level's shards name those of the next. The blocks then add up their documents' scores from
+the answers.
 
-Words are known by hashes of 64 bits, in tries of 40 bits beside the shard.
+Words are known by hashes of 64 bits; contexts by 40 bits beside the shard, and words among a context's successors by 32.
 
 Defined results: a null text counts as empty and has its end token only; a null identifier counts as the text "" in the hold-
 out rule; repeated rows are trained on and scored each; without training documents every token is unknown, with score 0.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import elias_fano
 from .runtime import bounded_batches, bucket_count, materialize, shared_dir
-from .text import C1, C2, joined, mix, word_hashes
+from .text import C1, joined, mix, word_hashes
 
 HOLD_OUT = 7
 HELD = 2
@@ -40,7 +43,9 @@ BLOCK_BYTES = 12 << 20
 #: A context of more than 1 / (SPREAD * shards) of all training tokens is spread over all shards: at most SPREAD * shards of them.
 SPREAD = 4
 END, START = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x5A4A5A4A5A4A5A4A)
-LOW40 = np.uint64((1 << 40) - 1)
+LOW40, LOW32 = np.uint64((1 << 40) - 1), np.uint64((1 << 32) - 1)
+#: Tokens of the longest n-grams.
+ORDER = 3
 
 
 def is_training(doc_id: int | None) -> bool:
@@ -94,16 +99,24 @@ class Block:
         use = np.repeat(self.training, np.diff(self.first))
         return np.bincount(self.tokens[use], minlength=len(self.words))
 
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(contexts, words, training counts, place of each token's bigram), contexts and words as hashes, in ascending order."""
-        n = len(self.words)
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = self.tokens[:-1]
-        before[self.first[:-1]] = n
-        pair, back = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
-        use = np.repeat(self.training, np.diff(self.first))
-        named = np.append(self.words, START)
-        return named[pair // (n + 1)], self.words[pair % (n + 1)], np.bincount(back[use], minlength=len(pair)), back
+    def levels(self, order: int):
+        """For 2 to `order` tokens: (contexts, words, training counts, place of each token's n-gram), contexts and words as hashes."""
+        n, use = len(self.words), np.repeat(self.training, np.diff(self.first))
+        back, start, named = self.tokens.astype(np.int64), START, self.words
+        for _ in range(2, order + 1):
+            before = np.empty(len(back), np.int64)
+            before[1:] = back[:-1]
+            before[self.first[:-1]] = len(named)
+            pair, back = np.unique(before * n + self.tokens, return_inverse=True)
+            context, word = np.append(named, start)[pair // n], self.words[pair % n]
+            yield context, word, np.bincount(back[use], minlength=len(pair)), back
+            named, start = chained(context, word), chained(start, START)
+
+
+def chained(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context with a word after it, from the bits by which shards know both."""
+    with np.errstate(over="ignore"):
+        return mix(np.bitwise_and(context, LOW40) * C1 + mix(np.bitwise_and(word, LOW32) + C1))
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -120,17 +133,6 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-def _low40(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _from40(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8").ravel()
-
-
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
     names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
@@ -138,11 +140,11 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def _bigram_shards(block: Block, context: np.ndarray, word: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, cuts): the bigrams by shard, contexts together within one."""
+def _gram_shards(context: np.ndarray, word: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, cuts): the n-grams by shard, by the low bits of the context within one."""
     spread = np.isin(context, hot)
     shard = _shard(np.where(spread, mix(context * C1 + word), context), shards)
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint64) << np.uint64(40) | context & LOW40, kind="stable")
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
@@ -151,8 +153,10 @@ def _runs(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(context)))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, by n-grams of up to `order` tokens."""
+    if order < 1:
+        raise ValueError("the order must be at least 1")
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     shards, folder = bucket_count(spark), shared_dir(spark, "lm")
@@ -209,59 +213,77 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         hot_words += list(np.frombuffer(r.data, np.uint64, r.kind, 8 * (2 + r.kind)))
     start_count = blocks.select("file").mapInArrow(_training_documents, "n long").agg(F.sum("n")).first()[0] or 0
     hot_counts[0] = int(start_count)
-    order = np.argsort(np.array(hot_words, np.uint64))
-    hot, hot_count = np.array(hot_words, np.uint64)[order], np.array(hot_counts, np.int64)[order]
-
-    def send_bigrams(batches):
-        for batch in batches:
-            for number, file in zip(batch.column("block").to_pylist(), batch.column("file").to_pylist(), strict=True):
-                block = Block.load(file)
-                context, word, count, _ = block.bigrams()
-                order, cuts = _bigram_shards(block, context, word, hot, shards)
-                out = []
-                for s in np.flatnonzero(np.diff(cuts)).tolist():
-                    o = order[cuts[s] : cuts[s + 1]]
-                    start, run = _runs(context[o])
-                    out.append((s, number, file, _low40(context[o][start]), _small(run), _low40(word[o]), _small(count[o])))
-                yield _batch(out, "shard int, block long, file string, contexts binary, runs binary, words binary, counts binary")
-
-    def answer_bigrams(table: pa.Table) -> pa.Table:
-        got = table.to_pydict()
-        run = [_wide(r) for r in got["runs"]]
-        context = np.repeat(np.concatenate([_from40(c) for c in got["contexts"]]), np.concatenate(run))
-        word, count = _from40(b"".join(got["words"])), np.concatenate([_wide(c) for c in got["counts"]])
-        seen = np.flatnonzero(count)
-        seen = seen[np.lexsort((word[seen], context[seen]))]
-        c, w = context[seen], word[seen]
-        first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))[: len(c)])
-        c, w, n = c[first], w[first], np.add.reduceat(count[seen], first) if len(first) else count[:0]
-        start, size = _runs(c)
-        whole = np.add.reduceat(n, start) if len(start) else n[:0]
-        low, place = hot & LOW40, np.zeros(len(start), np.int64)
-        by_low = np.argsort(low)
-        place = by_low[np.minimum(np.searchsorted(low[by_low], c[start]), len(low) - 1)]
-        spread = low[place] == c[start]  # of these the shard has a part only: their count is known, their backoff is made up by the driver
-        whole = np.where(spread, hot_count[place], whole)
-        log_prob = np.log10(np.maximum(n - DISCOUNT, 1e-9) / np.repeat(whole, size))
-        data = elias_fano.build(c, w, log_prob, c[start], np.log10(DISCOUNT * size / whole))
-        shard = got["shard"][0]
-        trie = _mapped(f"{folder}/trie-{shard}-{uuid.uuid4().hex[:12]}", data)
-        codes, back = trie.lookup(context, word)
-        at, out = 0, []
-        for block, file, r in zip(got["block"], got["file"], run, strict=True):
-            m = int(r.sum())
-            begin = at + np.cumsum(r) - r
-            out.append((block, file, 1, shard, np.array(trie.scale).tobytes() + np.array([m], np.int64).tobytes() + codes[at : at + m].tobytes() + back[begin].tobytes()))
-            at += m
-        out.append((-1, "", int(spread.sum()), shard, place[spread].tobytes() + size[spread].tobytes()))
-        return pa.Table.from_batches([_batch(out, answer)])
-
-    sent = sent.mapInArrow(send_bigrams, "shard int, block long, file string, contexts binary, runs binary, words binary, counts binary")
-    bigrams = materialize(sent.groupBy("shard").applyInArrow(answer_bigrams, answer), "lm-bigrams")
-    after = np.zeros(len(hot), np.int64)  # different words after each spread context
-    for r in bigrams.where("block = -1").toLocalIterator():
-        part = np.frombuffer(r.data, np.int64).reshape(2, -1)
-        after[part[0]] += part[1]
+    hot, hot_count = _sorted_hot(hot_words, hot_counts)
+    sizes = "shard int, block long, file string, contexts binary, runs binary, words binary, counts binary"
+
+    def level(k: int, hot: np.ndarray, hot_count: np.ndarray):
+        """Functions that send the k-grams of blocks to shards and that answer them there."""
+
+        def send(batches):
+            for batch in batches:
+                for number, file in zip(batch.column("block").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                    block = Block.load(file)
+                    *_, (context, word, count, _) = block.levels(k)
+                    by_shard, cuts = _gram_shards(context, word, hot, shards)
+                    out = []
+                    for s in np.flatnonzero(np.diff(cuts)).tolist():
+                        o = by_shard[cuts[s] : cuts[s + 1]]
+                        low = context[o] & LOW40
+                        start, run = _runs(low)
+                        out.append((s, number, file, elias_fano.encode(low[start]), _small(run), word[o].astype("<u4").tobytes(), _small(count[o])))
+                    yield _batch(out, sizes)
+
+        def answers(table: pa.Table) -> pa.Table:
+            got = table.select(["shard", "block", "file", "contexts", "runs", "words", "counts"]).to_pydict()
+            run = [_wide(r) for r in got["runs"]]
+            asked = np.concatenate([elias_fano.decode(c) for c in got.pop("contexts")])
+            runs = np.concatenate(run)
+            word, count = np.frombuffer(b"".join(got.pop("words")), "<u4"), np.concatenate([_wide(c) for c in got.pop("counts")])
+            seen = np.flatnonzero(count)
+            c, w, n = np.repeat(asked, runs)[seen], word[seen], count[seen]
+            by_gram = np.lexsort((w, c))
+            c, w, n = c[by_gram], w[by_gram], n[by_gram]
+            first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))[: len(c)])
+            c, w, n = c[first], w[first].astype(np.uint64), np.add.reduceat(n, first) if len(first) else n[:0]
+            start, size = _runs(c)
+            whole = np.add.reduceat(n, start) if len(start) else n[:0]
+            low, place = hot & LOW40, np.zeros(len(start), np.int64)
+            by_low = np.argsort(low)
+            place = by_low[np.minimum(np.searchsorted(low[by_low], c[start]), len(low) - 1)]
+            spread = low[place] == c[start]  # of these the shard has a part only: their count is known, their backoff is made up by the driver
+            whole = np.where(spread, hot_count[place], whole)
+            log_prob = np.log10(np.maximum(n - DISCOUNT, 1e-9) / np.repeat(whole, size))
+            data = elias_fano.build(c, w, log_prob, c[start], np.log10(DISCOUNT * size / whole))
+            shard = got["shard"][0]
+            trie = _mapped(f"{folder}/trie-{k}-{shard}-{uuid.uuid4().hex[:12]}", data)
+            codes, back = trie.lookup(asked, word.astype(np.uint64), runs)
+            at, own, out = 0, 0, []
+            for block, file, r in zip(got["block"], got["file"], run, strict=True):
+                m = int(r.sum())
+                out.append((block, file, k, shard, np.array(trie.scale).tobytes() + codes[at : at + m].tobytes() + back[own : own + len(r)].tobytes()))
+                at, own = at + m, own + len(r)
+            high = (n > least_hot) & (w != END & LOW32)  # contexts of the next level to be spread
+            out.append((-1, "", int(spread.sum()), shard, place[spread].tobytes() + size[spread].tobytes() + chained(c[high], w[high]).tobytes() + n[high].tobytes()))
+            return pa.Table.from_batches([_batch(out, answer)])
+
+        return send, answers
+
+    tables, hots, start = [words], [], START
+    for k in range(2, order + 1):
+        send, answers = level(k, hot, hot_count)
+        table = materialize(sent.mapInArrow(send, sizes).groupBy("shard").applyInArrow(answers, answer), f"lm-{k}-grams")
+        tables.append(table)
+        after = np.zeros(len(hot), np.int64)  # different words after each spread context
+        start = chained(start, START)
+        next_words, next_counts = [start], [int(start_count)]
+        for r in table.where("block = -1").toLocalIterator():
+            part = np.frombuffer(r.data, np.int64, 2 * r.kind).reshape(2, -1)
+            after[part[0]] += part[1]
+            more = np.frombuffer(r.data, np.uint64, offset=16 * r.kind).reshape(2, -1)
+            next_words += list(more[0])
+            next_counts += more[1].astype(np.int64).tolist()
+        hots.append((hot, hot_count, after))
+        hot, hot_count = _sorted_hot(next_words, next_counts)
     unknown = min(max(once / total, 1 / (total + 1)), 0.5) if total else 1.0
 
     def add_up(table: pa.Table) -> pa.Table:
@@ -269,26 +291,28 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         block = Block.load(got["file"][0])
         answers = {(k, s): d for k, s, d in zip(got["kind"], got["shard"], got["data"], strict=True)}
         shard = _shard(block.words, shards)
-        order = np.argsort(shard, kind="stable")
+        by_shard = np.argsort(shard, kind="stable")
         count = np.zeros(len(block.words), np.int64)
-        count[order] = np.concatenate([_wide(answers[0, s]) for s in np.unique(shard).tolist()])
+        count[by_shard] = np.concatenate([_wide(answers[0, s]) for s in np.unique(shard).tolist()])
         p1 = np.where(count > 0, (1 - unknown) * count / max(total, 1), unknown)
-        context, word, _, back = block.bigrams()
-        order, cuts = _bigram_shards(block, context, word, hot, shards)
-        direct, backoff = np.zeros(len(context)), np.ones(len(context))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            data, o = answers[1, s], order[cuts[s] : cuts[s + 1]]
-            scale, m = np.frombuffer(data, np.float64, 4), len(o)
-            start, run = _runs(context[o])
-            codes, back_codes = np.frombuffer(data, np.uint8, m, 40), np.repeat(np.frombuffer(data, np.uint8, len(start), 40 + m), run)
-            direct[o] = np.where(codes > 0, 10.0 ** elias_fano.restored(codes, scale[0], scale[1]), 0)
-            backoff[o] = np.where(back_codes > 0, 10.0 ** elias_fano.restored(back_codes, scale[2], scale[3]), 1)
-        place = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-        spread = (hot[place] == context) & (hot_count[place] > 0)
-        backoff[spread] = DISCOUNT * after[place[spread]] / hot_count[place[spread]]
-        own = np.searchsorted(block.words, word)
-        # A context whose words were never trained on has no entry and backs off wholly.
-        log = np.log10(direct + backoff * p1[own])[back]
+        p = p1[block.tokens]  # of each token, by contexts of the levels so far
+        for k, (context, word, _, back) in enumerate(block.levels(order), 2):
+            hot, hot_count, after = hots[k - 2]
+            by_shard, cuts = _gram_shards(context, word, hot, shards)
+            direct, backoff = np.zeros(len(context)), np.ones(len(context))
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                data, o = answers[k, s], by_shard[cuts[s] : cuts[s + 1]]
+                scale, m = np.frombuffer(data, np.float64, 4), len(o)
+                start, run = _runs(context[o] & LOW40)
+                codes, back_codes = np.frombuffer(data, np.uint8, m, 32), np.repeat(np.frombuffer(data, np.uint8, len(start), 32 + m), run)
+                direct[o] = np.where(codes > 0, 10.0 ** elias_fano.restored(codes, scale[0], scale[1]), 0)
+                backoff[o] = np.where(back_codes > 0, 10.0 ** elias_fano.restored(back_codes, scale[2], scale[3]), 1)
+            place = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+            spread = (hot[place] == context) & (hot_count[place] > 0)
+            backoff[spread] = DISCOUNT * after[place[spread]] / hot_count[place[spread]]
+            # A context that was never trained on has no entry and backs off wholly.
+            p = direct[back] + backoff[back] * p
+        log = np.log10(p)
         base = np.log10((count + 1) / (total + vocabulary + 1))[block.tokens]
         known = (count > 0)[block.tokens]
         first = block.first[:-1]
@@ -298,10 +322,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             "train_tokens": np.full(len(first), total), "base_score": sums[0], "score": sums[1],
         })
 
-    every = words.where("block >= 0").unionByName(bigrams.where("block >= 0"))
+    every = reduce(DataFrame.unionByName, (t.where("block >= 0") for t in tables))
     return every.groupBy("block").applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _sorted_hot(words: list, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    words, by_word = np.unique(np.array(words, np.uint64), return_index=True)
+    return words, np.array(counts, np.int64)[by_word]
+
+
 def _training_documents(batches):
     for batch in batches:
         yield _batch([(int(Block.load(f).training.sum()),) for f in batch.column("file").to_pylist()], "n long")

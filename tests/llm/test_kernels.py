@@ -88,10 +88,32 @@ def test_trie():
     assert [bool(x) for x in back] == [x in set(rows.tolist()) for x in qc.tolist()]
     got = np.log10(t.prob(t.lookup(c, w)[0]))
     assert np.abs(got - log).max() <= 5 / 254 / 2 + 1e-9
+    together, size = t.lookup(rows, w, np.bincount(np.searchsorted(rows, c))), len(rows)
+    assert np.array_equal(together[0], t.lookup(c, w)[0]) and len(together[1]) == size
     empty = elias_fano.Trie(elias_fano.build(c[:0], w[:0], log[:0], c[:0], log[:0]))
     assert not empty.lookup(c, w)[0].any()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**40), max_size=200), st.lists(st.integers(0, 2**62), max_size=20), st.integers(0, 40))
+def test_coded_search(values, others, shift):
+    v = np.sort(np.array(values, np.uint64) >> np.uint64(shift))
+    coded, keys = elias_fano.Sequence(elias_fano.encode(v)), np.concatenate([v, np.array(others, np.uint64)])
+    at, hit = coded.find(keys)
+    assert np.array_equal(hit, np.isin(keys, v)) and np.array_equal(v[at[hit]], keys[hit])
+    zero = np.zeros(len(keys), np.int64)
+    assert np.array_equal(coded.search(zero, zero + len(v), keys)[0], np.searchsorted(v, keys))
+
+
+def test_trie_stays_coded():
+    r = np.random.default_rng(4)
+    pairs = np.unique(r.integers(0, 2**40, 100_000, dtype=np.uint64) >> np.uint64(22) << np.uint64(16) | r.integers(0, 5000, 100_000, dtype=np.uint64))
+    c, w = pairs >> np.uint64(16), pairs & np.uint64(0xFFFF)
+    rows = np.unique(c)
+    data = elias_fano.build(c, w, np.linspace(-5, 0, len(c)), rows, np.linspace(-2, 0, len(rows)))
+    assert elias_fano.Trie(data).resident < 0.15 * len(data)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abcx", max_size=20), st.text(alphabet="abcy", max_size=20))
 def test_edit_distance(a, b):

@@ -189,38 +189,46 @@ def test_packing(spark, docs, rows, nothing):
     assert pack_documents(nothing, tokenizer_path("word_bpe_49k.json"), end=1).count() == 0
 
 
-def test_lm_scores(spark, docs, rows, nothing):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(spark, docs, rows, nothing, order):
     end = b"\0"
     training = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2
-    c, pairs, after, kinds = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    contexts = lambda w, k: [tuple([None] * k + w)[i : i + k] for i in range(len(w))]
+    c, grams, after, kinds = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
     for i, t, _ in rows:
         if training(i):
             w = [*tokens(t), end]
             c.update(w)
-            pairs.update(zip([None, *w], w, strict=False))
-    for (a, _), n in pairs.items():
+            for k in range(1, order):
+                grams.update(zip(contexts(w, k), w, strict=True))
+    for (a, _), n in grams.items():
         after[a] += n
         kinds[a] += 1
     total, unknown = sum(c.values()), sum(n == 1 for n in c.values()) / sum(c.values())
     want = collections.defaultdict(list)
     for i, t, _ in rows:
-        w, score = [*tokens(t), end], 0.0
-        for a, b in zip([None, *w], w, strict=False):
-            p1 = (1 - unknown) * c[b] / total if b in c else unknown
-            score += math.log10(max(pairs[a, b] - 0.75, 0) / after[a] + 0.75 * kinds[a] / after[a] * p1 if after[a] else p1)
+        w = [*tokens(t), end]
+        p = [(1 - unknown) * c[b] / total if b in c else unknown for b in w]
+        for k in range(1, order):
+            p = [max(grams[a, b] - 0.75, 0) / after[a] + 0.75 * kinds[a] / after[a] * x if after[a] else x for a, b, x in zip(contexts(w, k), w, p, strict=True)]
         base = sum(math.log10((c[x] + 1) / (total + len(c) + 1)) for x in w)
-        want[i].append((len(w), sum(x in c for x in w), base, score))
-    got = lm_scores(docs).collect()
+        want[i].append((len(w), sum(x in c for x in w), base, sum(map(math.log10, p))))
+    got = lm_scores(docs, order=order).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.train_tokens == total and r.held_out == (not training(r.doc_id))
         assert any(r.n_tokens == n and r.n_known == k and abs(r.base_score - b) < 1e-6 and abs(r.score - s) < 0.02 * n for n, k, b, s in want[r.doc_id]), r
-    assert lm_scores(nothing).count() == 0
+    assert lm_scores(nothing, order=order).count() == 0
     only_held = next(i for i in range(1000) if not training(i))
-    (r,) = lm_scores(frame(spark, [(only_held, "a b", "s")])).collect()
+    (r,) = lm_scores(frame(spark, [(only_held, "a b", "s")]), order=order).collect()
     assert (r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0)
 
 
+def test_lm_order(docs):
+    with pytest.raises(ValueError):
+        lm_scores(docs, order=0)
+
+
 def test_line_dedup(spark, nothing):
     r = random.Random(5)
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(400)]
