@@ -13,7 +13,9 @@ import numpy as np
 
 
 #: Bits of the high part that one entry of a sequence's directory covers.
-COVER = 64
+COVER = 128  # two words
+#: Ranges of more values are narrowed to the values with the key's high part before they are halved.
+WIDE = 8
 #: Queries of a sequence that are answered at once.
 QUERIES = 1 << 16
 #: Values that are coded at once; a multiple of eight, so that their bits end with a byte.
@@ -48,8 +50,9 @@ class Sequence:
         fields = (self.n * self.low + 7) // 8
         self.fields = np.ndarray((fields + 1,), "<u8", raw, HEAD.size, (1,))
         start = HEAD.size + fields + 8
-        self.bits = raw[start : start + width // 8].reshape(-1, COVER // 8)
-        ones = np.concatenate([np.bitwise_count(self.bits[i : i + QUERIES]).sum(axis=1, dtype=np.int64) for i in range(0, len(self.bits), QUERIES)])
+        bits = raw[start : start + width // 8].reshape(-1, COVER // 8)
+        self.halves = np.ndarray((width // 64,), "<u8", raw, start, (8,))
+        ones = np.concatenate([np.bitwise_count(bits[i : i + QUERIES]).sum(axis=1, dtype=np.int64) for i in range(0, len(bits), QUERIES)])
         kind = np.int32 if width < 1 << 31 else np.int64
         self.ones = np.concatenate([[0], np.cumsum(ones)]).astype(kind)
         last = int(self.get(np.array([self.n - 1]))[0]) if self.n else 0
@@ -60,7 +63,7 @@ class Sequence:
 
     @cached_property
     def zeros(self) -> np.ndarray:
-        """The directory of unset bits, which only find() needs."""
+        """The directory of unset bits."""
         return (np.arange(len(self.ones)) * COVER - self.ones).astype(self.ones.dtype)
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
@@ -71,12 +74,17 @@ class Sequence:
             want = k[i : i + QUERIES].astype(before.dtype)
             cover = np.searchsorted(before, want, "right") - 1
             rest = (want - before[cover]).astype(np.uint8)
-            row = self.bits[cover] if one else ~self.bits[cover]
+            half = self.halves[cover * 2] if one else ~self.halves[cover * 2]
+            first = np.bitwise_count(half)
+            second = first <= rest
+            rest -= first * second
+            half = np.where(second, self.halves[cover * 2 + 1] if one else ~self.halves[cover * 2 + 1], half)
+            row = half.view(np.uint8).reshape(-1, 8)
             upto = np.cumsum(np.bitwise_count(row), axis=1, dtype=np.uint8)
             byte = (upto <= rest[:, None]).sum(axis=1)
             each = np.arange(len(want))
             rest = rest - np.where(byte > 0, upto[each, byte - 1], 0)
-            out[i : i + QUERIES] = cover * COVER + byte * 8 + PLACE[row[each, byte], rest]
+            out[i : i + QUERIES] = cover * COVER + second * 64 + byte * 8 + PLACE[row[each, byte], rest]
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
@@ -91,8 +99,12 @@ class Sequence:
 
     def search(self, lo: np.ndarray, hi: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first value from places lo to hi that is at least the key, hi if none is; whether it equals the key)."""
-        lo, end = np.array(lo, np.int64), np.asarray(hi, np.int64)
-        hi, hit = end.copy(), np.zeros(len(lo), bool)
+        lo, hi, hit = np.array(lo, np.int64), np.array(hi, np.int64), np.zeros(len(lo), bool)
+        wide = np.flatnonzero(hi - lo > WIDE)
+        if len(wide):
+            begin, end = self._alike(keys[wide])
+            begin, end = (np.clip(x, lo[wide], hi[wide]) for x in (begin, end))
+            lo[wide], hi[wide] = begin, end
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             at = (lo[open_] + hi[open_]) >> 1
@@ -106,10 +118,16 @@ class Sequence:
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, whether there) of each key in the whole sequence, searched among the values with its high part."""
         keys = np.asarray(keys, np.uint64)
+        if not self.n:
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        return self.search(*self._alike(keys), keys)
+
+    def _alike(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places from and up to which values share a key's high part; both the length for keys beyond the last."""
         high = np.minimum(keys >> np.uint64(self.low), np.uint64(self.top)).astype(np.int64)
         lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1 - high, 0)
         hi = self._select(high, False) - high
-        return self.search(lo, hi, keys) if self.n else (np.zeros(len(keys), np.int64), np.zeros(len(keys), bool))
+        return np.where(keys >> np.uint64(self.low) > np.uint64(self.top), hi, lo), hi
 
 
 def decode(data) -> np.ndarray:
@@ -167,7 +185,7 @@ class Trie:
     @property
     def resident(self) -> int:
         """Bytes held beside the buffer."""
-        return sum(s.ones.nbytes for s in (self.contexts, self.vocabulary, self.pointers, self.successors)) + self.contexts.zeros.nbytes + self.vocabulary.zeros.nbytes
+        return sum(s.ones.nbytes for s in (self.contexts, self.vocabulary, self.pointers, self.successors)) + sum(s.zeros.nbytes for s in (self.contexts, self.vocabulary, self.successors))
 
     def lookup(self, context: np.ndarray, word: np.ndarray, runs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(codes of the entries, codes of the contexts' backoffs), 0 where absent; with runs, each context has that many of the words.

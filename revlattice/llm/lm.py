@@ -239,12 +239,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             asked = np.concatenate([elias_fano.decode(c) for c in got.pop("contexts")])
             runs = np.concatenate(run)
             word, count = np.frombuffer(b"".join(got.pop("words")), "<u4"), np.concatenate([_wide(c) for c in got.pop("counts")])
-            seen = np.flatnonzero(count)
-            c, w, n = np.repeat(asked, runs)[seen], word[seen], count[seen]
-            by_gram = np.lexsort((w, c))
-            c, w, n = c[by_gram], w[by_gram], n[by_gram]
-            first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))[: len(c)])
-            c, w, n = c[first], w[first].astype(np.uint64), np.add.reduceat(n, first) if len(first) else n[:0]
+            c = np.repeat(asked, runs)
+            by_gram = np.lexsort((word, c))
+            c, w = c[by_gram], word[by_gram].astype(np.uint64)
+            new = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))[: len(c)]
+            first, gram = np.flatnonzero(new), np.empty(len(c), np.int64)
+            gram[by_gram] = np.cumsum(new) - 1  # of each asked n-gram its place among the different ones
+            every_c, every_w, n = c[first], w[first], np.add.reduceat(count[by_gram], first) if len(first) else count[:0]
+            seen = n > 0
+            c, w, n = every_c[seen], every_w[seen], n[seen]
             start, size = _runs(c)
             whole = np.add.reduceat(n, start) if len(start) else n[:0]
             low, place = hot & LOW40, np.zeros(len(start), np.int64)
@@ -256,7 +259,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             data = elias_fano.build(c, w, log_prob, c[start], np.log10(DISCOUNT * size / whole))
             shard = got["shard"][0]
             trie = _mapped(f"{folder}/trie-{k}-{shard}-{uuid.uuid4().hex[:12]}", data)
-            codes, back = trie.lookup(asked, word.astype(np.uint64), runs)
+            begin, many = _runs(every_c)
+            codes, back = trie.lookup(every_c[begin], every_w, many)
+            back = np.repeat(back, many)[gram[np.cumsum(runs) - runs]]
+            codes = codes[gram]
             at, own, out = 0, 0, []
             for block, file, r in zip(got["block"], got["file"], run, strict=True):
                 m = int(r.sum())
