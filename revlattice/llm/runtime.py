@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting by which an execution that has ended removes the files of its shuffles.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below spark.checkpoint.dir (a temporary folder where that is unset in local mode, as in tests; elsewhere that is refused)."""
     sc = spark.sparkContext
@@ -22,9 +26,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives the loss of executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write df to the shared folder and read it back: cuts lineage, survives the loss of executors.
+
+    The files of the shuffles that led to it go once it is written, and not only when the driver's collector finds them unused.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
