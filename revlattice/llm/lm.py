@@ -44,6 +44,8 @@ BLOCK_BYTES = 12 << 20
 SPREAD = 4
 END, START = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x5A4A5A4A5A4A5A4A)
 LOW40, LOW32 = np.uint64((1 << 40) - 1), np.uint64((1 << 32) - 1)
+#: How blocks' planes of token bytes are packed.
+PACKED = pa.Codec("zstd", compression_level=1)
 #: Tokens of the longest n-grams.
 ORDER = 3
 
@@ -72,10 +74,10 @@ class Block:
         system.create_dir(path.rpartition("/")[0], recursive=True)
         arrays = {"doc_ids": self.doc_ids, "valid": self.valid.astype(np.uint8), "first": self.first, "words": self.words}
         wide = self.tokens.astype("<u4").view(np.uint8).reshape(-1, 4)  # planes of bytes, the empty ones left out
-        planes = [wide[:, i].tobytes() for i in range(1 + (max(1, len(self.words) - 1).bit_length() - 1) // 8)]
+        planes = [PACKED.compress(wide[:, i].tobytes(), asbytes=True) for i in range(1 + (max(1, len(self.words) - 1).bit_length() - 1) // 8)]
         with system.open_output_stream(path) as out:
             parts = [a.tobytes() for a in arrays.values()] + planes
-            out.write(np.array([len(self.doc_ids), len(self.words), len(self.tokens), len(planes)], "<i8").tobytes())
+            out.write(np.array([len(self.doc_ids), len(self.words), len(self.tokens), len(planes), *map(len, planes)], "<i8").tobytes())
             for p in parts:
                 out.write(p)
 
@@ -85,13 +87,15 @@ class Block:
         with system.open_input_file(path) as f:
             data = f.read()
         docs, words, tokens, planes = np.frombuffer(data, "<i8", 4).tolist()
-        at, out = 32, []
+        sizes = np.frombuffer(data, "<i8", planes, 32).tolist()
+        at, out = 32 + 8 * planes, []
         for n, kind in ((docs, np.int64), (docs, bool), (docs + 1, np.int64), (words, np.uint64)):
             out.append(np.frombuffer(data, kind, n, at))
             at += n * np.dtype(kind).itemsize
         wide = np.zeros((tokens, 4), np.uint8)
-        for i in range(planes):
-            wide[:, i] = np.frombuffer(data, np.uint8, tokens, at + i * tokens)
+        for i, size in enumerate(sizes):
+            wide[:, i] = np.frombuffer(PACKED.decompress(data[at : at + size], tokens), np.uint8)
+            at += size
         return cls(*out, wide.view("<u4").ravel())
 
     def word_counts(self) -> np.ndarray:
