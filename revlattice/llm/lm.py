@@ -8,7 +8,8 @@ on h are what a trie holds, as quantised logarithms: an entry's discounted proba
 
 No machine holds the model. Documents are packed into blocks, whose words and n-grams, each once with its training count,
 go to shards by hash, one level after the other. A word shard sums counts and answers them. A shard of a level, which has all
-words after its contexts, sums counts, writes its trie to the shared folder, maps it into memory and answers with codes.
+words after its contexts, sums counts, writes its trie to a file, maps it into memory and answers with codes; no other task
+asks it, so the file goes with the answers.
 Contexts with more than a fixed share of all tokens, of which there can only be a bounded number a level, are spread over
 all shards by the n-gram; each level's shards name those of the next. The blocks then add up their documents' scores from
 the answers.
@@ -22,6 +23,8 @@ Other columns than the identifier and the text are not read.
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 import uuid
 import zlib
 from functools import reduce
@@ -260,9 +263,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             spread = low[place] == c[start]  # of these the shard has a part only: their count is known, their backoff is made up by the driver
             whole = np.where(spread, hot_count[place], whole)
             log_prob = np.log10(np.maximum(n - DISCOUNT, 1e-9) / np.repeat(whole, size))
-            data = elias_fano.build(c, w, log_prob, c[start], np.log10(DISCOUNT * size / whole))
             shard = got["shard"][0]
-            trie = _mapped(f"{folder}/trie-{k}-{shard}-{uuid.uuid4().hex[:12]}", data)
+            trie = _mapped(elias_fano.build(c, w, log_prob, c[start], np.log10(DISCOUNT * size / whole)))
             begin, many = _runs(every_c)
             codes, back = trie.lookup(every_c[begin], every_w, many)
             back = np.repeat(back, many)[gram[np.cumsum(runs) - runs]]
@@ -346,12 +348,9 @@ def _training_documents(batches):
         yield _batch([(int(Block.load(f).training.sum()),) for f in batch.column("file").to_pylist()], "n long")
 
 
-def _mapped(uri: str, data: bytes) -> elias_fano.Trie:
-    """The trie written to the shared folder and mapped into memory where the file system can."""
-    system, path = fs.FileSystem.from_uri(uri)
-    with system.open_output_stream(path) as out:
-        out.write(data)
-    if isinstance(system, fs.LocalFileSystem):
-        return elias_fano.Trie(pa.memory_map(path).read_buffer())
-    with system.open_input_file(path) as f:
-        return elias_fano.Trie(f.read())
+def _mapped(data: bytes) -> elias_fano.Trie:
+    """The trie in a file of the worker's temporary folder, mapped into memory; the file has no name and goes with the trie."""
+    with tempfile.TemporaryFile() as f:
+        f.write(data)
+        f.flush()
+        return elias_fano.Trie(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))

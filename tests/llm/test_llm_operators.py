@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -20,6 +21,7 @@ from revlattice.llm.lm import lm_scores
 from revlattice.llm.mixing import mix_sources, mixture, quotas_by_weight
 from revlattice.llm.packing import pack_documents
 from revlattice.llm.quality import keep_good, quality_scores
+from revlattice.llm.runtime import shared_dir
 from revlattice.llm.token_counts import token_counts
 from revlattice.llm.token_files import Reader, read_documents, write_token_files
 from revlattice.llm.tokens import tokenizer_path
@@ -224,6 +226,16 @@ def test_lm_scores(spark, docs, rows, nothing, order):
     assert (r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0)
 
 
+def test_lm_work_files(docs):
+    """Of a run only the packed blocks and the answers stay in the shared folder: tries go once their shard has answered."""
+    folder = Path(shared_dir(docs.sparkSession, "any").removeprefix("file://")).parent
+    before = set(folder.rglob("*"))
+    assert lm_scores(docs).count() == docs.count()
+    made = [p for p in folder.rglob("*") if p.is_file() and p not in before]
+    assert any(p.name.startswith("block-") for p in made)
+    assert all(p.name.startswith("block-") or p.parent.name.startswith(("lm-blocks-", "lm-words-", "lm-2-grams-", "lm-3-grams-")) for p in made), made
+
+
 def test_lm_order(docs):
     with pytest.raises(ValueError):
         lm_scores(docs, order=0)
