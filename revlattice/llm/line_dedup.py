@@ -25,7 +25,6 @@ columns pass through.
 
 from __future__ import annotations
 
-import os
 from operator import ne
 
 import numpy as np
@@ -61,10 +60,10 @@ COMPARED = 512
 BLOCK_LINES = 65_000
 #: Bytes of text whose keys are made, or that are compared, at once.
 TEXT_BYTES = 4 << 20
-#: Longer texts are compared one pair at a time; of the others so many cells of an anti-diagonal at once.
-WIDE, CELLS = 4096, 1 << 18
 #: Distances up to which a column's band fits the bits of an integer, pairs whose columns are made at once, and most symbols of theirs.
 NARROW, NARROW_PAIRS, SYMBOLS = 60, 512, 128
+#: Before wide bands are filled, runs of so many characters are counted, by so many bits of a hash; of pairs with so many characters at once.
+COUNTED, COUNTED_CHARS = ((1, 6), (4, 9)), 1 << 19
 #: The bits of a byte in the bytes of an integer.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
 NORMAL = np.full(256, 0x20, np.uint8)
@@ -237,12 +236,7 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
 
     With `most`, any number above it stands for a distance above it, and any up to it for one up to it.
     """
-    lo, shorter = 0, min(len(a), len(b))
-    while lo < shorter and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < shorter - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
+    lo, hi = _ends(a, b)
     a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     if not a or not b:
         return len(a) + len(b)
@@ -251,24 +245,59 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
             return max(len(a), len(b))
         if len(a) == len(b) and (changed := sum(map(ne, a, b))) <= most:
             return changed
+        return _banded_distance(*((a, b) if len(a) >= len(b) else (b, a)), most)
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = full, 0, len(a)
-    limit = len(a) + len(b) if most is None else most
-    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+    for c in b:
         eq = where.get(c, 0)
         diagonal = (((eq & up) + up) ^ up) | eq | down
         rise, fall = down | (full & ~(diagonal | up)), up & diagonal
         distance += bool(rise & top) - bool(fall & top)
-        if distance - left > limit:  # each column that is left takes one off at most
-            return distance - left
         rise, fall = (rise << 1) | 1, fall << 1
         up, down = (fall | ~((eq | down) | rise)) & full, rise & (eq | down) & full
     return distance
 
 
+def _banded_distance(a: str, b: str, most: int) -> int:
+    """The edit distance of a and the shorter b if it is at most `most`, else a number above that: of each column the rows that such a path can meet, as bits of one integer."""
+    if len(a) - len(b) > most:
+        return most + 1
+    high = (most + len(a) - len(b)) // 2  # the topmost bit is the row this far below the column's number
+    width = most + 2
+    last, where = width - 1, {}
+    one = 1 << last - high
+    points = np.frombuffer(a.encode("utf-32-le"), "<u4")
+    for c in set(a):
+        where[c] = int.from_bytes(np.packbits(points == ord(c), bitorder="little").tobytes(), "little") << last - high
+    full, top, get = (1 << width) - 1, 1 << last, where.get
+    up, down, score, bend = full ^ (one - 1), 0, high, len(a) - high
+    spare = most + len(b) - bend
+    for i, c in enumerate(b[:bend]):
+        same = get(c, 0) >> i & full
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        rise, fall = down | ((diagonal | up) ^ full), diagonal & up
+        if not diagonal & top:
+            score += 1
+            if score > spare:  # each column after the bend takes one off at most
+                return most + 1
+        diagonal >>= 1
+        up, down = fall | ((diagonal | rise) ^ full), rise & diagonal
+    for i in range(bend, len(b)):
+        same = get(b[i], 0) >> i & full
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        rise, fall = down | ((diagonal | up) ^ full), diagonal & up
+        bit = last - 1 - (i - bend)
+        score += (rise >> bit & 1) - (fall >> bit & 1)
+        if score > most + len(b) - i - 1:
+            return most + 1
+        diagonal >>= 1
+        up, down = fall | ((diagonal | rise) ^ full), rise & diagonal
+    return score
+
+
 def similar(a: str, b: str, percent: int = SIMILARITY_PERCENT) -> bool:
     """Whether the edit distance is small enough against the longer text."""
     return bool(all_similar([a], [b], percent)[0])
@@ -385,6 +414,44 @@ def _narrow(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ends(a: str, b: str) -> tuple[int, int]:
+    """The characters that two texts have in common at their beginning, and at their end beside those."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        half = (lo + hi + 1) // 2
+        if a[lo:half] == b[lo:half]:
+            lo = half
+        else:
+            hi = half - 1
+    begin, lo, hi = lo, 0, min(len(a), len(b)) - lo
+    while lo < hi:
+        half = (lo + hi + 1) // 2
+        if a[len(a) - half : len(a) - lo] == b[len(b) - half : len(b) - lo]:
+            lo = half
+        else:
+            hi = half - 1
+    return begin, lo
+
+
+def _told_apart(pairs: list[tuple[str, str]], room: np.ndarray) -> np.ndarray:
+    """Which pairs' counts of runs of characters differ by more than their rooms explain: an edit takes away, and adds, at most as many runs as one has characters."""
+    size = np.array([len(x) for p in pairs for x in p])
+    points = np.frombuffer("".join(x for p in pairs for x in p).encode("utf-32-le"), "<u4")
+    text, left = np.repeat(np.arange(len(size)), size), np.repeat(np.cumsum(size), size) - np.arange(len(points))
+    out, run, width = np.zeros(len(pairs), bool), np.zeros(len(points), np.uint32), 0
+    for q, bits in COUNTED:
+        while width < q:
+            run = run[: max(0, len(points) - width)] * np.uint32(0x01000193) + points[width:]
+            width += 1
+        whole = left[: len(run)] >= q
+        bins = (run * np.uint32(0x9E3779B1) >> np.uint32(32 - bits))[whole].astype(np.int64) + (text[: len(run)][whole] << bits)
+        counts = np.bincount(bins, minlength=len(size) << bits).reshape(len(pairs), 2, 1 << bits)
+        more = counts[:, 0] - counts[:, 1]
+        up = np.maximum(more, 0).sum(1)
+        out |= np.maximum(up, up - more.sum(1)) > q * room
+    return out
+
+
 def all_similar(left: list[str], right: list[str], percent: int = SIMILARITY_PERCENT) -> np.ndarray:
     """similar() of each pair of texts: those that one changed place or changed letters explain at once, most others many at a time."""
     out, open_, rooms, at = np.zeros(len(left), bool), [], [], []
@@ -394,31 +461,24 @@ def all_similar(left: list[str], right: list[str], percent: int = SIMILARITY_PER
             continue
         if len(a) < len(b):
             a, b = b, a
-        if len(a) > WIDE:
-            out[i] = edit_distance(a, b, room) <= room
-            continue
-        x = os.path.commonprefix((a, b))
-        a, b = a[len(x) :], b[len(x) :]
-        hi = 0
-        while hi < len(b) and a[-1 - hi] == b[-1 - hi]:
-            hi += 1
-        a, b = a[: len(a) - hi], b[: len(b) - hi]
+        lo, hi = _ends(a, b)
+        a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
         if len(a) <= room or len(a) == len(b) and sum(map(ne, a, b)) <= room:
             out[i] = True
         elif b:  # what is left of the longer text alone is over the room
             open_.append((a, b))
             rooms.append(room)
             at.append(i)
-    order = sorted(range(len(open_)), key=lambda i: (rooms[i].bit_length() if rooms[i] > NARROW else 0, len(open_[i][1])))
-    start = 0
-    while start < len(order):
-        narrow = rooms[order[start]] <= NARROW
-        stop = start + 1
-        while stop < len(order) and (rooms[order[stop]] <= NARROW) == narrow and (stop - start < NARROW_PAIRS if narrow else (stop - start + 1) * len(open_[order[stop]][0]) <= CELLS):
-            stop += 1
-        some = order[start:stop]
-        out[[at[i] for i in some]] = (_narrow if narrow else _within)([open_[i] for i in some], np.array([rooms[i] for i in some]))
-        start = stop
+    narrow = sorted((i for i, room in enumerate(rooms) if room <= NARROW), key=lambda i: len(open_[i][1]))
+    for start in range(0, len(narrow), NARROW_PAIRS):
+        some = narrow[start : start + NARROW_PAIRS]
+        out[[at[i] for i in some]] = _narrow([open_[i] for i in some], np.array([rooms[i] for i in some]))
+    wide = np.array([i for i, room in enumerate(rooms) if room > NARROW], np.int64)
+    before = np.cumsum([len(open_[i][0]) for i in wide]) // COUNTED_CHARS
+    for some in np.split(wide, np.flatnonzero(np.diff(before)) + 1) if len(wide) else ():
+        apart = _told_apart([open_[i] for i in some], np.array([rooms[i] for i in some]))
+        for i in some[~apart].tolist():
+            out[at[i]] = _banded_distance(*open_[i], rooms[i]) <= rooms[i]
     return out
 
 

@@ -8,6 +8,7 @@ a third checks the pairs that still lie in two components: no link that could jo
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,9 @@ def block_pairs(
         block, key, ids, comp, own, alone = (x[order] for x in (block, key, ids, comp, own, alone))
         rest = np.stack([c[order] for c in rest], 1) if rest else np.zeros((len(ids), 0), np.int64)
         held = table.column(payload).take(pa.array(order)).to_pylist() if alike else None
-        named = [frozenset(k) for k in table.column(keys).take(pa.array(order)).to_pylist()] if keys else None
+        lists = table.column(keys).combine_chunks().take(pa.array(order)) if keys else None
+        cuts, every = (np.asarray(lists.offsets), np.asarray(lists.values)) if keys else (None, None)
+        named = cache(lambda x: frozenset(every[cuts[x] : cuts[x + 1]].tolist()))  # of items that a near pair has
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -91,7 +94,7 @@ def block_pairs(
             i = left[(comp[left] != comp[left + shift]) & ((own[left] != own[left + shift]) | (alone[left] == 1))]
             i = i[near(rest[i], rest[i + shift])] if len(i) else i
             if keys and len(i):
-                i = i[np.array([min(named[x] & named[x + shift]) == key[x] for x in i])]
+                i = i[np.array([min(named(x) & named(x + shift)) == key[x] for x in i.tolist()])]
             if len(i):
                 wait.append((i, i + shift))
                 waits += len(i)

@@ -17,6 +17,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: The first 0 to 8 bytes of an integer.
+FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 64
 #: Bytes of text that a kernel works on at once (a longer single text makes a slice of its own).
@@ -26,9 +28,13 @@ SHINGLE_WORDS = 5
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * C2
-    x = (x ^ (x >> np.uint64(27))) * C3
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= C2
+    y ^= y >> np.uint64(27)
+    y *= C3
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def low40(h: np.ndarray) -> bytes:
@@ -112,7 +118,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     pos = starts[short]
     while len(short):
         take = np.minimum(left, 8)
-        chunk = eight[pos] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - take) * 8).astype(np.uint64))
+        chunk = eight[pos] & FIRST[take]
         out[short] = mix(out[short] * C1 + chunk)
         more = left > 8
         short, left, pos = short[more], left[more] - 8, pos[more] + 8

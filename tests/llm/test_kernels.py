@@ -362,3 +362,25 @@ def test_unions_of_no_open_signature():
     for sig, ids, comp in ((none.astype(np.uint64), none, none), (np.zeros(3, np.uint64), np.arange(3), np.zeros(3, np.int64))):
         keys, lists = jaccard._open_unions(sig, ids, comp)
         assert len(keys) == len(lists) == 0
+
+
+def test_distances_of_wide_bands():
+    """Rooms above 60: the band of one integer against the plain columns, and no pair within its room is told apart by counts."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijé𝔊") for _ in range(r.randint(1, 8)))
+    pairs, refused = [], 0
+    for i in range(60):
+        a = [word() for _ in range(r.randint(150, 260))]
+        b = [w if r.random() > 0.04 * (i % 6) else r.choice(["", word(), w + "x"]) for w in a] if i % 10 else [word() for _ in a]
+        pairs.append(tuple(sorted((" ".join(a), " ".join(b)), key=len, reverse=True)))
+    distance = [line_dedup.edit_distance(a, b) for a, b in pairs]
+    for room in (61, 70, 100, 200, 400):
+        for (a, b), d in zip(pairs, distance, strict=True):
+            got = line_dedup._banded_distance(a, b, room)
+            assert got == d if d <= room else got > room
+        apart = line_dedup._told_apart(pairs, np.full(len(pairs), room))
+        assert not any(x and d <= room for x, d in zip(apart, distance, strict=True))
+        refused += int(apart.sum())
+    assert refused
+    assert line_dedup.all_similar(*zip(*pairs, strict=True)).tolist() == [10 * d <= max(map(len, p)) for p, d in zip(pairs, distance, strict=True)]
+    assert line_dedup._told_apart([("ab", "c")], np.array([1])).tolist() == [True] and line_dedup._told_apart([("ab", "c")], np.array([2])).tolist() == [False]
