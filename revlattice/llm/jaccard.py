@@ -442,6 +442,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
     sent = docs.sparkSession.sparkContext.broadcast(Membership.of(gone, "gone"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("key"))
-    flagged = keyed.withColumn("may", F.pandas_udf(lambda ids: may_be(sent, ids), "boolean")(F.coalesce("key", F.lit(0).cast("long"))))
+    flagged = keyed.withColumn("may", F.arrow_udf(lambda ids: may_be(sent, ids), "boolean")(F.coalesce("key", F.lit(0).cast("long"))))
     rest = flagged.where("may").join(gone.hint("merge"), F.col("key") == F.col("gone"), "left_anti")
     return flagged.where("not may").unionByName(rest).select("row.*")

@@ -662,7 +662,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = lines_to_drop(docs, id_col, text_col, percent)
     sent = docs.sparkSession.sparkContext.broadcast(Membership.of(lost, "rid"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(id_col, text_col).alias("key"))
-    flagged = keyed.withColumn("may", F.pandas_udf(lambda key: members(sent, key), "boolean")("key"))
+    flagged = keyed.withColumn("may", F.arrow_udf(lambda key: members(sent, key), "boolean")("key"))
     whole = flagged.where("not may").select("row", F.col(f"row.`{text_col}`").alias("text"), F.lit(0).cast("long").alias("n_dropped"))
     split = flagged.where("may").join(lost.hint("merge"), F.col("key") == F.col("rid"), "left").select("row", F.col(f"row.`{text_col}`").alias("text"), "lines")
 

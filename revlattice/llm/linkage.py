@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import bucket_count, materialize
+from .text import release
 
 #: Items of a key that are compared at once; the items of a larger key are dealt to tiles of about that size.
 TILE = 2048
@@ -106,6 +107,7 @@ def block_pairs(
                     i, j = verified(i, j)
                 found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        release()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return dealt.groupBy(F.pmod("block", F.lit(buckets)).alias("bucket")).applyInArrow(compare, "a long, b long").distinct()

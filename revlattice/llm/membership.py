@@ -53,11 +53,9 @@ class Membership:
         return cls(out)
 
 
-def members(sent, keys):
-    """For a pandas UDF: whether each of a series of longs may be a member of the broadcast filter."""
-    import pandas as pd
-
-    return pd.Series(sent.value.may_hold(keys.to_numpy().astype(np.int64)))
+def members(sent, keys: pa.Array) -> pa.Array:
+    """For an Arrow UDF, whose workers need no pandas: whether each of an array of longs (null counts as 0) may be a member of the broadcast filter."""
+    return pa.array(sent.value.may_hold(np.asarray(keys.fill_null(0))))
 
 
 def kept(batches, sent, column: str):

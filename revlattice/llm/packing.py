@@ -28,7 +28,8 @@ CAPACITY = 2048
 PIECE = 512
 #: Pieces of a chunk, which is packed on its own.
 CHUNK_PIECES = 1500
-BLOCK_BYTES = 4 << 20
+#: Bytes of text encoded at once: the arrays of its pieces take some 25 times that.
+BLOCK_BYTES = 1 << 20
 
 
 def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:

@@ -6,6 +6,7 @@ Words are identified by a 64-bit hash; two different words of one corpus share i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +25,15 @@ LONG_WORD = 64
 #: Bytes of text that a kernel works on at once (a longer single text makes a slice of its own).
 SLICE_BYTES = 4 << 20
 SHINGLE_WORDS = 5
+#: glibc's way to give free memory back; None elsewhere.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give the system back what the allocators hold of freed memory: workers outlive their tasks, and idle ones count too."""
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,7 +74,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice's texts hold at most `most` bytes, or one text."""
+    """The batches cut so that a slice's texts hold at most `most` bytes, or one text; freed memory goes back after each batch."""
     for batch in batches:
         _, at = flat(batch.column(column))
         start = 0
@@ -72,6 +82,7 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES, column: s
             stop = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+        release()
 
 
 def joined(batches: Iterable[pa.RecordBatch], most: int, column: str = "text", rows: int = 65_000) -> Iterator[pa.RecordBatch]:

@@ -90,6 +90,7 @@ class Encoder:
         return found
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """keys, none of them known, ascend."""
         pools, sizes = [self.pool], []
         for i in range(0, len(pieces), TOGETHER):
             part = pieces[i : i + TOGETHER]
@@ -99,9 +100,8 @@ class Encoder:
         size = np.concatenate(sizes)
         begin = len(self.pool) + np.cumsum(size) - size
         self.pool = np.concatenate(pools)
-        keys, begin, size = np.concatenate([self.keys, keys]), np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
-        order = np.argsort(keys)
-        self.keys, self.begin, self.size = keys[order], begin[order], size[order]
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.size = (np.insert(kept, place, new) for kept, new in ((self.keys, keys), (self.begin, begin), (self.size, size)))
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): row i has ids[first[i]:first[i + 1]], with the id `end` last where given."""

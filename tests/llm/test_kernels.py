@@ -1,6 +1,9 @@
 """The numpy kernels against plain Python, without Spark."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,7 @@ from hypothesis import strategies as st
 from revlattice.llm import elias_fano, jaccard, line_dedup, packing, token_files
 from revlattice.llm import text as T
 from revlattice.llm.exact_dedup import Bloom, Run, _digests, compact
+from revlattice.llm.membership import BITS, Membership, members
 from revlattice.llm.mixing import capped_targets, min_cost_flow, routed, source_order
 from revlattice.llm.token_counts import automaton, pieces_of
 from revlattice.llm.tokens import Encoder, tokenizer_path
@@ -384,3 +388,39 @@ def test_distances_of_wide_bands():
     assert refused
     assert line_dedup.all_similar(*zip(*pairs, strict=True)).tolist() == [10 * d <= max(map(len, p)) for p, d in zip(pairs, distance, strict=True)]
     assert line_dedup._told_apart([("ab", "c")], np.array([1])).tolist() == [True] and line_dedup._told_apart([("ab", "c")], np.array([2])).tolist() == [False]
+
+
+def test_a_block_of_text_is_encoded_in_bounded_memory():
+    """In a process of its own: from before the first block on, a worker of the packing takes at most 160 MB more, learning new pieces all the time."""
+    code = """
+import re, threading, time, numpy as np, pyarrow as pa
+from revlattice.llm.packing import BLOCK_BYTES
+from revlattice.llm.text import joined
+from revlattice.llm.tokens import Encoder, tokenizer_path
+now = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+encoder, most, rng = Encoder(tokenizer_path("word_bpe_49k.json")), [], np.random.default_rng(1)
+def watch():
+    while True:
+        most.append(now())
+        time.sleep(0.01)
+def batches():
+    for _ in range(3):
+        words = rng.integers(0, 1 << 19, 1_000_000).astype("S7").reshape(1000, -1)
+        yield pa.RecordBatch.from_pydict({"text": [b" ".join(row).decode() for row in words]})
+start = now()
+threading.Thread(target=watch, daemon=True).start()
+rows = sum(len(encoder.encode(b.column("text"), 1)[1]) - 1 for b in joined(batches(), BLOCK_BYTES))
+print(rows, max(most) - start)
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True)
+    rows, more = run.stdout.split()
+    assert int(rows) == 3000 and float(more) < 160, more
+
+
+def test_filters_ask_arrow_arrays_without_pandas():
+    keys = pa.array([1, None, 3], pa.int64())
+    sent = type("Sent", (), {"value": Membership(np.full(BITS // 8, 255, np.uint8))})
+    found = members(sent, keys)
+    assert isinstance(found, pa.Array) and found.to_pylist() == [True] * 3
+    sent.value = Membership(np.zeros(BITS // 8, np.uint8))
+    assert members(sent, keys).to_pylist() == [False] * 3
