@@ -111,8 +111,10 @@ class Lines:
         self.word_start, self.word_end, _ = words(self.normal, at)
         self.word_first = np.searchsorted(self.word_start, self.start)
         self.word_stop = np.searchsorted(self.word_start, self.end)
-        ink = np.flatnonzero(~SPACE[self.data])
-        self.counts = np.flatnonzero(np.searchsorted(ink, self.end) > np.searchsorted(ink, self.start))
+        some = self.word_stop > self.word_first
+        for i in np.flatnonzero(~some & (self.end > self.start)).tolist():  # without words a line counts by what else isn't blank
+            some[i] = not SPACE[self.data[self.start[i] : self.end[i]]].all()
+        self.counts = np.flatnonzero(some)
         self.worded = (self.word_stop > self.word_first)[self.counts]
 
     def _raw(self, i: int) -> bytes:
@@ -640,7 +642,6 @@ def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     every = materialize(_line_rows(rows), "lines")
     place = F.struct("doc", "rid", "line")
-    distinct = materialize(every.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), "distinct-lines")
     keys = materialize(_near_keys(rows, percent), "line-keys")
     of_line = keys.groupBy("id").agg(F.collect_list("key").alias("keys"))
     payload = materialize(_texts(rows, Membership.of(keys, "id")).join(of_line, "id"), "line-texts")
@@ -649,8 +650,9 @@ def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike = lambda a, b: all_similar(a, b, percent)
     last = lambda items, _: block_pairs(items.join(payload, "id"), ["sim"], near, alike, "text", "keys")
     roots = linked(_stars(keys, percent), None, mixed, _alike(payload, percent), last)
+    distinct = every.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))  # lies by id as the join wants it
     named = distinct.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").where("n > 1 or root is not null")
-    named = named.withColumn("root", F.coalesce("root", "id"))
+    named = materialize(named.withColumn("root", F.coalesce("root", "id")), "repeated-lines")
     stays = named.groupBy("root").agg(F.min("place").alias("stays"))
     repeated = named.select("id", "root").join(stays, "root").select("id", "stays")
     lost = every.join(repeated.hint("merge"), "id").where(~place.eqNullSafe(F.col("stays"))).select("rid", "line").distinct()

@@ -377,3 +377,18 @@ def test_token_counts(docs, rows, nothing):
     got = [(-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in token_counts(docs, tokenizer_path("piece_bpe_32k.model")).collect()]
     assert sorted(got) == sorted(want)
     assert token_counts(nothing, tokenizer_path("piece_bpe_32k.model")).count() == 0
+
+
+def test_line_dedup_writes_no_row_for_a_line_that_stays_alone(spark, monkeypatch):
+    written = {}
+
+    def counted(df, name, write=line_dedup.materialize):
+        out = write(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    rows = [(i, f"line {chr(97 + i) * 9} alone\n----\n \t\n\u00a0\n", "s") for i in range(20)]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert out[0] == rows[0][1] and all(out[i] == f"line {chr(97 + i) * 9} alone\n \t\n" for i in range(1, 20))
+    assert written["lines"] == 60 and written["repeated-lines"] == 2 and "distinct-lines" not in written
